@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stavelake.llm.common import table
@@ -15,6 +16,27 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stavelake.llm.binary_records import record_round_trip
+
+    return record_round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stavelake.llm.duck_bpe import encode_documents
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stavelake.llm.token_count import count_tokens
+
+    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", counted["n_tokens"] > 512)
+
+
 SQL = {
     "op1_warc_salvage": """
         with p as (select page_id, url, coalesce(html, '') as h from pages),
