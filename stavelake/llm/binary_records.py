@@ -31,8 +31,8 @@ from stavelake.llm.common import storage, stored, work_dir
 
 MAGIC = b"SLTREC01"
 NULL_ID = -(1 << 63)
-#: Distinct words that a worker remembers; beyond it forgets them all and starts anew.
-CACHE_WORDS = 400_000
+#: Distinct strings between spaces, and distinct words of them, that a worker remembers; beyond it starts anew.
+CACHE_STRINGS, CACHE_WORDS = 400_000, 900_000
 
 
 def masked(data: bytes) -> int:
@@ -58,8 +58,10 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         said = json.loads(self.tok.to_str())
         self.by_word = splits_words(said)
+        self.folds = "Lowercase" in json.dumps(said.get("normalizer"))
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {"": b""}
+        self.strings: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,14 +70,30 @@ class WordEncoder:
         if not self.by_word:
             return self._ids(texts)
         split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.strings) > CACHE_STRINGS:
+            self.strings = {"": b""}
         if len(self.words) > CACHE_WORDS:
-            self.words = {"": b""}
-        known = self.words
-        new = list({w for words in split for w in words if w not in known})
-        for k in range(0, len(new), 20_000):
-            known.update(zip(new[k : k + 20_000], self._ids(new[k : k + 20_000]), strict=True))
+            self.words = {}
+        known = self.strings
+        self._learn(set().union(*split).difference(known))
         return [b"".join([known[w] for w in words]) for words in split]
 
+    def _learn(self, new: set[str]) -> None:
+        """A stop after a letter is a pre-token of its own, and letters of ASCII words fold as the normalizer folds them."""
+        parts = []
+        for w in new:
+            stop = w[-1] if len(w) > 1 and w[-1] in ".,;:!?" and w[-2].isalpha() else ""
+            word = w[:-1] if stop else w
+            if self.folds and word.isascii() and "<" not in word:
+                word = word.lower()
+            parts.append((w, word, stop))
+        missing = list({x for _, word, stop in parts for x in (word, stop) if x and x not in self.words})
+        for k in range(0, len(missing), 20_000):
+            self.words.update(zip(missing[k : k + 20_000], self._ids(missing[k : k + 20_000]), strict=True))
+        words = self.words
+        for w, word, stop in parts:
+            self.strings[w] = words[word] + words[stop] if stop else words[word]
+
 
 def splits_words(said: dict) -> bool:
     pre, norm = said.get("pre_tokenizer") or {}, said.get("normalizer") or {}

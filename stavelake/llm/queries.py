@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stavelake.llm.common import table
 
@@ -16,6 +17,15 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op2_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stavelake.llm.toxicity import held_out, score_column, train
+
+    docs = table(spark, sf_dir, "documents")
+    machine = train(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = docs.select("doc_id", held_out().alias("held_out"), score_column(machine).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stavelake.llm.binary_records import record_round_trip
 
@@ -37,6 +47,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", counted["n_tokens"] > 512)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stavelake.llm.fingerprint import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 SQL = {
     "op1_warc_salvage": """
         with p as (select page_id, url, coalesce(html, '') as h from pages),
