@@ -29,29 +29,28 @@ from pyspark.sql import DataFrame
 
 LONG = 512
 #: Words in a recursive query, and words that a worker remembers (the older half goes when it is full).
-BATCH, CACHE = 20_000, 300_000
+BATCH, CACHE = 40_000, 1_400_000
 
 ENCODE = """
 with recursive state as (
-  select 0 as round, word, pos, tok, lead(tok) over (partition by word order by pos) as after from start
+  select 0 as round, word, pos, tok, lead(tok) over w as after, lead(pos) over w as next
+  from start window w as (partition by word order by pos)
   union all
-  select * from (
+  select round, word, pos, tok, lead(tok) over w as after, lead(pos) over w as next from (
     with paired as (
-      select s.*, m.id from state s left join merges m on m.pair = s.tok::bigint * 1048576 + s.after
+      select s.word, m.id::bigint * 1048576 + s.pos * 1024 + s.next as pick
+      from state s join merges m on m.pair = s.tok::bigint * 1048576 + s.after
     ), best as (
-      select word, min(id::bigint * 65536 + pos) as pick from paired where id is not null group by word
-    ), placed as (
-      select p.round, p.word, p.pos, p.tok, b.pick, lag(p.pos) over (partition by p.word order by p.pos) as before
-      from paired p join best b using (word)
-    ), merged as (
-      select round + 1 as round, word, pos, case when pos = pick % 65536 then (pick // 65536)::int else tok end as tok
-      from placed where before is null or before <> pick % 65536
+      select word, min(pick) as pick from paired group by word
     )
-    select round, word, pos, tok, lead(tok) over (partition by word order by pos) as after from merged
-  )
+    select s.round + 1 as round, s.word, s.pos,
+      case when s.pos = (b.pick // 1024) % 1024 then (b.pick // 1048576)::int else s.tok end as tok
+    from state s join best b using (word) where s.pos <> b.pick % 1024
+  ) window w as (partition by word order by pos)
+), last as (
+  select word, max(round) as round from state group by word
 )
-select word, list(tok order by pos) as ids
-from (select word, pos, tok, round = max(round) over (partition by word) as final from state) where final group by word
+select word, tok from state join last using (word, round) order by word, pos
 """
 
 DECODE = """
@@ -81,8 +80,8 @@ class DuckBpe:
         self._table("merges", pair=pa.array(pairs, pa.int64()), id=pa.array(pairs.values(), pa.int32()))
         self._table("vocab", tok=pa.array(self.ranks.values(), pa.int32()), hex=[p.hex() for p in self.ranks])
         self.pairs = pairs
-        self.new: dict[str, tuple[int, str, bytes]] = {}
-        self.old: dict[str, tuple[int, str, bytes]] = {}
+        self.new: dict[str, tuple[str, bytes]] = {}
+        self.old: dict[str, tuple[str, bytes]] = {}
 
     def _table(self, name: str, **columns) -> None:
         given = pa.table(columns)
@@ -100,8 +99,8 @@ class DuckBpe:
     def _short(self, pieces: list[bytes]) -> list[list[int]]:
         self.con.register("start", self._rows(pieces))
         out = self.con.execute(ENCODE).to_arrow_table()
-        got = dict(zip(out["word"].to_pylist(), out["ids"].to_pylist(), strict=True))
-        return [got[i] for i in range(len(pieces))]
+        ends = np.searchsorted(out["word"].to_numpy(), np.arange(1, len(pieces)))
+        return [x.tolist() for x in np.split(out["tok"].to_numpy(), ends)]
 
     def _long(self, piece: bytes) -> list[int]:
         rows = self._rows([piece])
@@ -156,15 +155,15 @@ class DuckBpe:
         got = dict(zip(out["word"].to_pylist(), out["piece"].to_pylist(), strict=True))
         return [got.get(i, b"") for i in range(len(ids))]
 
-    def known(self, texts: list[list[str]]) -> dict[str, tuple[int, str, bytes]]:
-        """For each distinct word: its count of ids, the ids in decimal, and what they decode to."""
+    def known(self, texts: list[list[str]]) -> dict[str, tuple[str, bytes]]:
+        """For each distinct word: its ids in decimal, and what they decode to."""
         words = set().union(*texts) if texts else set()
         found = {w: x for w in words if (x := self.new.get(w) or self.old.get(w))}
         missing = [w for w in words if w not in found]
         for k in range(0, len(missing), BATCH):
             part = missing[k : k + BATCH]
             ids = self.encode_words([w.encode() for w in part])
-            found.update({w: (len(x), " ".join(map(str, x)), piece) for w, x, piece in zip(part, ids, self.decode_words(ids), strict=True)})
+            found.update({w: (" ".join(map(str, x)), piece) for w, x, piece in zip(part, ids, self.decode_words(ids), strict=True)})
         if len(self.new) > CACHE // 2:
             self.old, self.new = self.new, {}
         self.new.update(found)
@@ -194,9 +193,9 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, with_ids: bool =
             rows = []
             for key, words in zip(keys, split, strict=True):
                 found = [known[w] for w in words]
-                ids = " ".join([x[1] for x in found])
-                data = b"".join([x[2] for x in found])
-                rows.append((key, sum([x[0] for x in found]), ids if with_ids else None, hashlib.sha256(ids.encode()).hexdigest(), data if with_ids else None, hashlib.sha256(data).hexdigest()))
+                ids = " ".join([x[0] for x in found])
+                data = b"".join([x[1] for x in found])
+                rows.append((key, ids.count(" ") + bool(ids), ids if with_ids else None, hashlib.sha256(ids.encode()).hexdigest(), data if with_ids else None, hashlib.sha256(data).hexdigest()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
         keys, texts, size = [], [], 0
