@@ -46,6 +46,12 @@ def op6_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stavelake.llm.suffix_dedup import dedup_report
+
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stavelake.llm.token_count import count_tokens
 
