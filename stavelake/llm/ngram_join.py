@@ -28,7 +28,7 @@ from stavelake.llm.graph import connected_components
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 96
 SALTS = 64
 #: Classes and characters in a block.
-BLOCK_CLASSES, BLOCK_CHARS = 1024, 4 << 20
+BLOCK_CLASSES, BLOCK_CHARS = 256, 4 << 20
 
 _rng = np.random.default_rng(5)
 LETTER = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -32,6 +32,12 @@ def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stavelake.llm.decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stavelake.llm.ngram_join import jaccard_groups
 
