@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,3 +82,23 @@ def batches_of(batches: Iterator[pa.RecordBatch], size_of: str, limit: int) -> I
                 begin, total = i, 0
             total += n
         yield batch.slice(begin)
+
+
+def may_hold(ids: DataFrame, *columns: str, bits: int = 1 << 24) -> Column:
+    """A condition on ``columns`` that holds for every row of ``ids`` and few others: a bitmap of ``bits`` bits.
+
+    It keeps rows that cannot match out of a shuffle; what passes must still be joined.
+    """
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    maps = ids.select(place.alias("at")).groupBy(F.expr("at div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("at % 32768")).alias("map"))
+    whole = np.zeros((max(1, bits // 32768), 4096), np.uint8)
+    for r in maps.collect():  # bits / 32768 rows of 4 KB at most
+        whole[r["part"], : len(r["map"])] = np.frombuffer(r["map"], np.uint8)
+    flat = whole.reshape(-1)
+
+    @F.pandas_udf("boolean")
+    def held(at: pd.Series) -> pd.Series:
+        x = at.to_numpy()
+        return pd.Series((flat[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
+
+    return held(place)

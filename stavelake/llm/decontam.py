@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ITEMS, STRIDE, RANK, OVERSAMPLE = 256, 32, 64, 32
-COVER, COSINE, COPY, PARAPHRASE, ANSWER = 0.3, 0.3, 0.8, 0.5, 0.8
+COVER, COSINE, COPY, PARAPHRASE, ANSWER = 0.3, 0.3, 0.8, 0.6, 0.8
 SLICE = 256
 GAP = 4  # passages between documents
 WORD = re.compile(r"\w+")
@@ -323,7 +323,7 @@ def leak_free(docs: DataFrame, benchmark: DataFrame) -> Column:
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         searchers = [Searcher(m) for m in learned]
         for part in parts:
-            texts = part.tolist()
+            texts = [t if isinstance(t, str) else None for t in part]
             held = {t for s in searchers for t, *_ in s.search(texts)}
             yield pd.Series([i not in held for i in range(len(texts))])
 

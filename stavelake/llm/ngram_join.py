@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import stored
+from stavelake.llm.common import may_hold, stored
 from stavelake.llm.graph import connected_components
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 96
@@ -249,3 +249,17 @@ def jaccard_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, re
     return rows.select("doc_id", "key", "salt").join(known, ["key", "salt"]).select(
         "doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id")
     )
+
+
+def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one document of each connected group of near copies: that with the least doc_id.
+
+    Of rows that repeat a doc_id one stays; rows without a doc_id stay.  Only rows that may go are shuffled.
+    """
+    groups = stored(jaccard_groups(docs, n, threshold, recall).filter("doc_id is not null"), "groups")
+    gone = groups.filter("doc_id <> group_id").select(F.col("doc_id").alias("gone__")).distinct()
+    again = groups.groupBy(F.col("doc_id").alias("gone__")).count().filter("count > 1").select("gone__")
+    marked = docs.withColumn("gone__", F.col("doc_id"))
+    held = F.coalesce(may_hold(gone.unionByName(again), "gone__"), F.lit(False)) & F.col("gone__").isNotNull()
+    kept = marked.filter(held).join(gone, "gone__", "left_anti").dropDuplicates(["gone__"])
+    return kept.select(*docs.columns).unionByName(marked.filter(~held).select(*docs.columns))

@@ -65,6 +65,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", counted["n_tokens"] > 512)
 
 
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stavelake.llm.preference import format_preferences, neighbour_pairs
+
+    return format_preferences(neighbour_pairs(table(spark, sf_dir, "conversations")))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stavelake.llm.fingerprint import fingerprint_documents
 
@@ -80,6 +86,27 @@ SQL = {
           case when last_id > page_id then last_id end as refers_to, url
         from g
     """,
+    "op9_preference_format": """
+        with t as (
+          select conv_id, turn, replace(coalesce(role, ''), '<|', '< |') as role, replace(coalesce(text, ''), '<|', '< |') as text
+          from conversations where conv_id is not null
+        ), n as (
+          select *, row_number() over (partition by conv_id order by turn, role, text) as i from t
+        ), l as (
+          select conv_id, max(i) as i, max_by(text, i) as text from n where role = 'assistant' group by conv_id
+        ), c as (
+          select l.conv_id as pair_id, l.i, l.text as own, o.text as other
+          from l join l o on o.conv_id = case when l.conv_id % 2 = 0 then l.conv_id + 1 else l.conv_id - 1 end
+        )
+        select pair_id, cast(c.i - (own <> other)::int as bigint) as prompt_turns,
+          coalesce((select string_agg('<|im_start|>' || role || chr(10) || n.text || '<|im_end|>' || chr(10), '' order by n.i)
+            from n where n.conv_id = pair_id and n.i <= c.i - (own <> other)::int), '') as prompt,
+          case when own = other then '' else '<|im_start|>assistant' || chr(10) || own || '<|im_end|>' || chr(10) end as chosen,
+          case when own = other then '' else '<|im_start|>assistant' || chr(10) || other || '<|im_end|>' || chr(10) end as rejected,
+          case when own = other then '' else '22-' || (length(own) + 32) end as chosen_mask,
+          case when own = other then '' else '22-' || (length(other) + 32) end as rejected_mask
+        from c
+    """,
 }
 
 

@@ -32,13 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import stored
+from stavelake.llm.common import may_hold, stored
 
 LENGTH, GRAM = 200, 40
 #: Unlike runs of one gram that a single task compares.
 HOT = 8192
-#: Bits of the bitmap of rows with a repeated name.
-BITS = 1 << 24
 NULL_ID = -(1 << 63)
 
 _rng = np.random.default_rng(8)
@@ -125,23 +123,6 @@ def sampled_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.filter(F.octet_length("text") >= length).mapInArrow(run, "g long, c long, doc long, mark long, place long")
 
 
-def may_hold(ids: DataFrame, bits: int = BITS) -> Column:
-    """A condition on (doc, mark) that holds for every row of ``ids`` and few others: a bitmap of ``bits`` bits."""
-    place = F.pmod(F.xxhash64("doc", "mark"), F.lit(bits))
-    maps = ids.select(place.alias("at")).groupBy(F.expr("at div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("at % 32768")).alias("map"))
-    whole = np.zeros((max(1, bits // 32768), 4096), np.uint8)
-    for r in maps.collect():  # bits / 32768 rows of 4 KB at most
-        whole[r["part"], : len(r["map"])] = np.frombuffer(r["map"], np.uint8)
-    flat = whole.reshape(-1)
-
-    @F.pandas_udf("boolean")
-    def held(at: pd.Series) -> pd.Series:
-        x = at.to_numpy()
-        return pd.Series((flat[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
-
-    return held(place)
-
-
 def contexts(rows: DataFrame, needed: DataFrame, length: int) -> DataFrame:
     """(g, doc, mark, first, data): the bytes of each run in ``needed`` (g, doc, mark, place)."""
     lists = needed.groupBy("doc", "mark").agg(F.collect_list(F.struct("g", "place")).alias("runs"))
@@ -162,7 +143,7 @@ def contexts(rows: DataFrame, needed: DataFrame, length: int) -> DataFrame:
         if out:
             yield _batch(out, types, names)
 
-    texts = rows.filter(may_hold(needed)).dropDuplicates(["doc", "mark"])
+    texts = rows.filter(may_hold(needed, "doc", "mark")).dropDuplicates(["doc", "mark"])
     return texts.join(lists, ["doc", "mark"]).select("doc", "mark", "text", "runs").mapInArrow(run, "g long, doc long, mark long, first long, data binary")
 
 
@@ -263,7 +244,7 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]], length: int) -> tuple[
 def dedup_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     rows, spans = removed_spans(docs, length, gram)
-    held = may_hold(spans)
+    held = may_hold(spans, "doc", "mark")
     doc_id = F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,13 +276,17 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     @F.pandas_udf("string")
     def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series(
-            [kept_bytes(t.encode("utf-8", "surrogatepass"), [(s["first"], s["windows"]) for s in f], length)[0].decode("utf-8", "ignore") for t, f in zip(texts, found, strict=True)], dtype=object
+            [
+                None if f is None else kept_bytes((t or "").encode("utf-8", "surrogatepass"), [(s["first"], s["windows"]) for s in f], length)[0].decode("utf-8", "ignore")
+                for t, f in zip(texts, found, strict=True)
+            ],
+            dtype=object,
         )
 
     renamed = spans.select(F.col("doc").alias("doc__"), F.col("mark").alias("mark__"), F.col("spans").alias("spans__"))
-    joined = known.join(renamed, ["doc__", "mark__"])
-    done = joined.withColumn("text", cut("text", "spans__"))
+    held = may_hold(renamed, "doc__", "mark__")
+    joined = known.filter(held).join(renamed, ["doc__", "mark__"], "left")
+    done = joined.withColumn("text", F.when(F.col("spans__").isNull(), F.col("text")).otherwise(cut("text", "spans__")))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    rest = known.join(renamed.select("doc__", "mark__"), ["doc__", "mark__"], "left_anti")
-    return done.select(*docs.columns).unionByName(rest.select(*docs.columns))
+        done = done.withColumn("n_chars", F.when(F.col("spans__").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return done.select(*docs.columns).unionByName(known.filter(~held).select(*docs.columns))

@@ -189,7 +189,7 @@ def score_column(machine: Machine, text: Column | str = "text") -> Column:
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(machine)
         for part in parts:
-            yield pd.Series([scorer(t) for t in part], dtype="float64")
+            yield pd.Series([scorer(t if isinstance(t, str) else None) for t in part], dtype="float64")
 
     return score(text)
 
