@@ -19,6 +19,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,9 @@ from stavelake.llm.common import storage, stored, work_dir
 
 MAGIC = b"SLTREC01"
 NULL_ID = -(1 << 63)
-#: Distinct strings between spaces, and distinct words of them, that a worker remembers; beyond it starts anew.
-CACHE_STRINGS, CACHE_WORDS = 400_000, 900_000
+#: Distinct words that a worker remembers; beyond it forgets them all and starts anew.
+CACHE_WORDS = 1_300_000
+STOPS = ".,;:!?"
 
 
 def masked(data: bytes) -> int:
@@ -60,39 +62,53 @@ class WordEncoder:
         self.by_word = splits_words(said)
         self.folds = "Lowercase" in json.dumps(said.get("normalizer"))
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.strings: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.suffix = said["model"].get("end_of_word_suffix")
+        if self.suffix:
+            vocabulary = self.tok.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(self.suffix)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        return [array(code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters in one text: each is one pre-token, which ends with its only token that has the end mark."""
+        e = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = np.flatnonzero(self.ends[e]) + 1
+        if len(cuts) != len(words):  # a letter that the normalizer takes apart
+            return self._ids(words)
+        data, cuts = e.tobytes(), (cuts * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._ids(texts)
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.strings) > CACHE_STRINGS:
-            self.strings = {"": b""}
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        known = self.strings
+        if not self.known or len(self.known) > CACHE_WORDS:
+            self.known = {"": b"", **dict(zip(STOPS, self._ids(list(STOPS)), strict=True))}
+        known = self.known
         self._learn(set().union(*split).difference(known))
         return [b"".join([known[w] for w in words]) for words in split]
 
     def _learn(self, new: set[str]) -> None:
         """A stop after a letter is a pre-token of its own, and letters of ASCII words fold as the normalizer folds them."""
-        parts = []
+        known, need, derived = self.known, set(), []
         for w in new:
-            stop = w[-1] if len(w) > 1 and w[-1] in ".,;:!?" and w[-2].isalpha() else ""
-            word = w[:-1] if stop else w
-            if self.folds and word.isascii() and "<" not in word:
+            word, stop = (w[:-1], w[-1]) if w[-1] in STOPS and w[-2:-1].isalpha() else (w, "")
+            if self.folds and not word.islower() and word.isascii() and "<" not in word:
                 word = word.lower()
-            parts.append((w, word, stop))
-        missing = list({x for _, word, stop in parts for x in (word, stop) if x and x not in self.words})
-        for k in range(0, len(missing), 20_000):
-            self.words.update(zip(missing[k : k + 20_000], self._ids(missing[k : k + 20_000]), strict=True))
-        words = self.words
-        for w, word, stop in parts:
-            self.strings[w] = words[word] + words[stop] if stop else words[word]
+            if word is not w:
+                derived.append((w, word, stop))
+            if word not in known:
+                need.add(word)
+        letters = [w for w in need if w.isalpha()] if self.suffix else []
+        for words, step, ids in ((letters, 1000, self._letters), (list(need.difference(letters)), 20_000, self._ids)):
+            for k in range(0, len(words), step):
+                known.update(zip(words[k : k + step], ids(words[k : k + step]), strict=True))
+        for w, word, stop in derived:
+            known[w] = known[word] + known[stop]
 
 
 def splits_words(said: dict) -> bool:

@@ -282,7 +282,7 @@ def write_archives(records: DataFrame, folder: str, roll_bytes: int = 64 << 20)
                 page, url, html, refers = (x.as_py() for x in row)
                 if out is None:
                     path, size, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = store.open_output_stream(f"{base}/{path}")
+                    out = store.open_output_stream(f"{base}/{path}", compression=None)
                 data = gzip_member(
                     make_record(
                         "response" if refers is None else "revisit",
@@ -323,7 +323,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
         for batch in batches:
             for file in batch.column(batch.schema.get_field_index("file")).to_pylist():
                 store, path = storage(file)
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for begin, end, got in salvage(stream):
                         if isinstance(got, str):
                             rows.append((file, begin, end, "gap", got, *[None] * 7))

@@ -16,7 +16,7 @@ from stavelake.llm import binary_records, duck_bpe, token_count
 from stavelake.llm.common import work_dir
 
 random.seed(7)
-ALPHABET = ["a", "the", " ", "  ", "\n", "\t", "\r\n", "é", "é", "ß", "Σ", "ΑΣ", "İ", "'s", "'LL", "12", "³", "，", "<|endoftext|>", "<|start", "\x1c", "\x85", " ", " ", "👩‍👩‍👧", "�", "word-", "x" * 30, "aaaa", "\x00", "́", "Ǆ", "﻿"]
+ALPHABET = ["a", "the", " ", "  ", "\n", "\t", "\r\n", "é", "é", "ß", "Σ", "ΑΣ", "İ", "'s", "'LL", "12", "³", "，", "<|endoftext|>", "<|start", "\x1c", "\x85", " ", " ", "👩‍👩‍👧", "�", "word-", "x" * 30, "aaaa", "\x00", "́", "Ǆ", "﻿", "क़", "ǰ", "J̌", "각", "ﬁ", "ſ"]
 ODD = [None, "", " ", "\n\n", "<|endoftext|>", "a" * 3000, " " * 2500, "0" * 1500, "ab" * 900 + "c", *("".join(random.choices(ALPHABET, k=random.randint(1, 60))) for _ in range(300))]
 ODD += ["".join(random.choices("abcdeghinorst", k=1400)), ODD[20], ODD[20]]
 
