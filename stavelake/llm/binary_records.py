@@ -32,8 +32,8 @@ from stavelake.llm.common import storage, stored, work_dir
 
 MAGIC = b"SLTREC01"
 NULL_ID = -(1 << 63)
-#: Distinct words that a worker remembers; beyond it forgets them all and starts anew.
-CACHE_WORDS = 1_300_000
+#: Distinct words that a worker remembers: the last so many, and as many before them.
+CACHE_WORDS = 400_000
 STOPS = ".,;:!?"
 
 
@@ -63,6 +63,7 @@ class WordEncoder:
         self.folds = "Lowercase" in json.dumps(said.get("normalizer"))
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.suffix = said["model"].get("end_of_word_suffix")
         if self.suffix:
             vocabulary = self.tok.get_vocab(with_added_tokens=True)
@@ -87,22 +88,28 @@ class WordEncoder:
             return self._ids(texts)
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if not self.known or len(self.known) > CACHE_WORDS:
-            self.known = {"": b"", **dict(zip(STOPS, self._ids(list(STOPS)), strict=True))}
+            self.old, self.known = self.known, {"": b"", **dict(zip(STOPS, self._ids(list(STOPS)), strict=True))}
         known = self.known
         self._learn(set().union(*split).difference(known))
         return [b"".join([known[w] for w in words]) for words in split]
 
     def _learn(self, new: set[str]) -> None:
         """A stop after a letter is a pre-token of its own, and letters of ASCII words fold as the normalizer folds them."""
-        known, need, derived = self.known, set(), []
+        known, old, need, derived = self.known, self.old, set(), []
         for w in new:
+            if w in old:
+                known[w] = old[w]
+                continue
             word, stop = (w[:-1], w[-1]) if w[-1] in STOPS and w[-2:-1].isalpha() else (w, "")
             if self.folds and not word.islower() and word.isascii() and "<" not in word:
                 word = word.lower()
             if word is not w:
                 derived.append((w, word, stop))
             if word not in known:
-                need.add(word)
+                if word in old:
+                    known[word] = old[word]
+                else:
+                    need.add(word)
         letters = [w for w in need if w.isalpha()] if self.suffix else []
         for words, step, ids in ((letters, 1000, self._letters), (list(need.difference(letters)), 20_000, self._ids)):
             for k in range(0, len(words), step):

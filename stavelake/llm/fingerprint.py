@@ -93,7 +93,7 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - n] + after[:n]
 
 
-def with_next(docs: DataFrame, rows_in_range: int = 2000) -> DataFrame:
+def with_next(docs: DataFrame, rows_in_range: int = 4000) -> DataFrame:
     """(range_, doc_id, text, lent_): rows dealt by ranges of doc_id, each range followed by the first row of the next.
 
     The shuffle moves each text once.  Bounds come from approximate quantiles, a number for each ``rows_in_range`` rows;
@@ -119,10 +119,10 @@ def with_next(docs: DataFrame, rows_in_range: int = 2000) -> DataFrame:
     dealt = ranged.join(given, "key_", "left")
     copies = F.when(F.col("to_").isNotNull(), F.array(F.struct(F.col("range_").alias("r"), F.lit(0).alias("l")), F.struct(F.col("to_").alias("r"), F.lit(1).alias("l")))).otherwise(F.array(F.struct(F.col("range_").alias("r"), F.lit(0).alias("l"))))
     dealt = dealt.withColumn("copy_", F.explode(copies)).select(F.col("copy_.r").alias("range_"), F.col("copy_.l").alias("lent_"), "key_", "text")
-    return dealt.repartition(max(1, len(order) // 3), "range_").sortWithinPartitions("range_", "lent_", F.desc("key_"), "text")
+    return dealt.repartitionById(len(bounds) + 1, "range_").sortWithinPartitions("range_", "lent_", F.desc("key_"), "text")
 
 
-def fingerprint_documents(docs: DataFrame, rows_in_range: int = 2000) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, rows_in_range: int = 4000) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): its fingerprint, that of its edited text, and likenesses."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
