@@ -14,7 +14,6 @@ of their texts; a null doc_id sorts first; very long texts are encoded whole; an
 
 from __future__ import annotations
 
-import functools
 import os
 import struct
 import uuid
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import storage, stored, work_dir
+from stavelake.llm.common import resident, storage, stored, work_dir
 
 MAGIC = b"SLTREC01"
 NULL_ID = -(1 << 63)
@@ -131,9 +130,8 @@ def splits_words(said: dict) -> bool:
     return bool(drops and plain and added and spaceless)
 
 
-@functools.cache
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return resident(("words", path), lambda: WordEncoder(path))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -102,3 +105,25 @@ def may_hold(ids: DataFrame, *columns: str, bits: int = 1 << 24) -> Column:
         return pd.Series((flat[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
 
     return held(place)
+
+
+_resident: dict[str, Any] = {}
+
+
+def resident(key: tuple, make: Callable[[], Any]) -> Any:
+    """The one large object that a Python worker keeps between tasks: asked for another, it lets the last one go."""
+    if _resident.get("key") != key:
+        release()
+        _resident.update(key=key, value=make())
+    return _resident["value"]
+
+
+def release() -> None:
+    """Gives back what ``resident`` holds.  Operators that keep nothing call it first, as workers outlive their jobs."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass

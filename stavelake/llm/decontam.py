@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stavelake.llm.common import release
+
 ITEMS, STRIDE, RANK, OVERSAMPLE = 256, 32, 64, 32
 COVER, COSINE, COPY, PARAPHRASE, ANSWER = 0.3, 0.3, 0.8, 0.6, 0.8
 SLICE = 256
@@ -106,6 +108,7 @@ def gather(docs: DataFrame, items: Items, test: np.ndarray) -> tuple[int, np.nda
     terms = items.terms
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hits, count, total, passages = Hits(terms), np.zeros(size, np.int64), np.zeros((size, width), np.float64), 0
 
         def flush() -> None:

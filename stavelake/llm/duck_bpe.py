@@ -17,7 +17,6 @@ strings are ordinary text; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -27,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from stavelake.llm.common import resident
+
 LONG = 512
 #: Words in a recursive query, and words that a worker remembers (the older half goes when it is full).
 BATCH, CACHE = 40_000, 1_400_000
@@ -65,7 +66,8 @@ select n, pos, tok, id from (
 
 
 class DuckBpe:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cache: int = CACHE):
+        self.cache = cache
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         pairs = {}
@@ -164,7 +166,7 @@ class DuckBpe:
             part = missing[k : k + BATCH]
             ids = self.encode_words([w.encode() for w in part])
             found.update({w: (" ".join(map(str, x)), piece) for w, x, piece in zip(part, ids, self.decode_words(ids), strict=True)})
-        if len(self.new) > CACHE // 2:
+        if len(self.new) > self.cache // 2:
             self.old, self.new = self.new, {}
         self.new.update(found)
         return found
@@ -173,17 +175,16 @@ class DuckBpe:
         return self.pattern.findall(text)
 
 
-@functools.cache
-def bpe(path: str, pattern: str) -> DuckBpe:
-    return DuckBpe(path, pattern)
+def bpe(path: str, pattern: str, cache: int = CACHE) -> DuckBpe:
+    return resident(("bpe", path, pattern, cache), lambda: DuckBpe(path, pattern, cache))
 
 
-def encode_documents(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = True, cache: int = CACHE) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded, decoded_sha256); ``ids`` (decimal, by spaces) and ``decoded`` are null
     without ``with_ids``.  No shuffle; a worker's memory is bounded by its cache and one group of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(ranks, pattern)
+        coder = bpe(ranks, pattern, cache)
         names = ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
 

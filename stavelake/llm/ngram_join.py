@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import may_hold, stored
+from stavelake.llm.common import may_hold, release, stored
 from stavelake.llm.graph import connected_components
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 96
@@ -116,12 +116,13 @@ def signature_rows(docs: DataFrame, shingler: Shingler) -> DataFrame:
     """(doc_id, key, chars, bands): key of the normalised text, bands null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             keys, column = batch.column(0).to_pylist(), batch.column(1)
             begin = 0
             while begin < len(keys):
                 texts, size, end = [], 0, begin
-                while end < len(keys) and size < 1 << 20:
+                while end < len(keys) and size < 1 << 19:
                     texts.append(normalised(column[end].as_py()))
                     size += len(texts[-1]) + 1
                     end += 1
@@ -195,6 +196,7 @@ def verify(blocks: DataFrame, shingler: Shingler, threshold: float) -> DataFrame
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         at, rows, out = None, [], []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):

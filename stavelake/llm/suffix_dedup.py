@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import may_hold, stored
+from stavelake.llm.common import may_hold, release, stored
 
 LENGTH, GRAM = 200, 40
 #: Unlike runs of one gram that a single task compares.
@@ -101,6 +101,7 @@ def sampled_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """(g, c, doc, mark, place): place is the first window times 2^20 plus the windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         runs, held, size = Runs(length, gram), [], 0
 
         def flush() -> pa.RecordBatch:
@@ -128,6 +129,7 @@ def contexts(rows: DataFrame, needed: DataFrame, length: int) -> DataFrame:
     lists = needed.groupBy("doc", "mark").agg(F.collect_list(F.struct("g", "place")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         types, names = [*[pa.int64()] * 4, pa.binary()], ["g", "doc", "mark", "first", "data"]
         out, size = [], 0
         for batch in batches:
@@ -151,6 +153,7 @@ def repeated_windows(ctx: DataFrame, length: int) -> DataFrame:
     """(doc, mark, first, windows): stretches of windows that occur twice among the runs of their gram, compared as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         types, names = [pa.int64()] * 4, ["doc", "mark", "first", "windows"]
 
         def finish(group: list) -> Iterator[tuple]:
@@ -189,6 +192,7 @@ def repeated_windows_hot(ctx: DataFrame, length: int) -> DataFrame:
     """The same by rows of window names (128 bits), for grams with many unlike runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             out = []
             for doc, mark, first, d in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
@@ -207,7 +211,8 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tu
     """Identified rows, and (doc, mark, spans) of those that lose bytes; spans are (first window, windows), unordered."""
     rows = identified(docs)
     runs = stored(sampled_runs(rows, length, gram), "runs")
-    repeated = runs.groupBy("g").count().filter("count > 1").select("g")
+    # written, so that the join below deals both sides anew and can split a gram that many rows share
+    repeated = stored(runs.groupBy("g").count().filter("count > 1").select("g"), "repeated-grams")
     left = stored(runs.join(repeated, "g"), "repeated-runs")
     names = stored(left.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "mark", "place")).alias("one")), "names")
     equal = left.join(names.filter("n > 1").select("g", "c"), ["g", "c"]).select(
@@ -248,6 +253,7 @@ def dedup_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     doc_id = F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
             out = []

@@ -16,7 +16,6 @@ Defined results: null and empty texts have no tokens; rows that repeat are count
 
 from __future__ import annotations
 
-import functools
 import os
 from collections.abc import Iterator
 
@@ -24,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stavelake.llm.common import resident
+
 CHUNK, OVERLAP = 1 << 16, 1 << 9
 
 
@@ -95,9 +96,8 @@ class Counter:
         return out
 
 
-@functools.cache
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return resident(("counter", path), lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

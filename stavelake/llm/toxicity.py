@@ -19,6 +19,7 @@ that repeat a text repeat its score; other columns pass.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import stored
+from stavelake.llm.common import release, resident, stored
 
 BUCKETS, SAMPLE, FEATURES, FACTORS = 1 << 20, 16_384, 4096, 8
 STEPS, PRIOR = 300, 0.05
 WORD = re.compile(r"[^\W_]+")
 #: Words without kept terms that a worker remembers.
-CLEAN = 1_000_000
+CLEAN = 400_000
 
 
 def terms(word: str) -> list[int]:
@@ -138,6 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, s
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label_")  # bounded by sample
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         cache: dict[str, list[int]] = {}
         for batch in batches:
             out = []
@@ -185,9 +187,11 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, s
 def score_column(machine: Machine, text: Column | str = "text") -> Column:
     """The score of each whole text; no shuffle."""
 
+    key = ("toxicity", uuid.uuid4().hex)
+
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(machine)
+        scorer = resident(key, lambda: Scorer(machine))
         for part in parts:
             yield pd.Series([scorer(t if isinstance(t, str) else None) for t in part], dtype="float64")
 
