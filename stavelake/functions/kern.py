@@ -32,7 +32,7 @@ def records(text: Column | str) -> Column:
 
 def lines(text: Column | str) -> Column:
     """Lines split at any line end, without the empty line after the last one."""
-    return F.split(F.regexp_replace(_c(text), f"(?:{LINE_END})$", ""), LINE_END, -1)
+    return F.split(F.regexp_replace(_c(text), f"(?:{LINE_END})\\z", ""), LINE_END, -1)
 
 
 def fields(record: Column) -> Column:

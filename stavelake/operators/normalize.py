@@ -1,7 +1,8 @@
 """Normaliser: an ordered list of passes compiled to as few steps as possible.
 
-Adjacent Column passes become projections, adjacent state machines one Arrow function.  A pass that raises rejects the
-document: its text becomes null, and error_type and error say why.  Counts of dropped marks are a map column.
+Passes before the first state machine and after the last one are projections; from the first to the last all run in one
+Arrow function, stateless ones among them in their text form.  A pass that raises rejects the document: its text becomes
+null, and error_type and error say why.  Counts of dropped marks are a map column.
 """
 
 from __future__ import annotations
@@ -10,20 +11,21 @@ import json
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from stavelake.operators import passes as P
+from stavelake.operators import passes_text as T
 
 
 @dataclass(frozen=True)
 class Pass:
     name: str
     column: Callable[[Column], Column] | None = None
-    machine: Callable[[str, Counter], str] | None = None
+    text: Callable[[str, Counter], str] | None = None
     check: Callable[[Column], Column] | None = None  # error message or null, after the pass
 
 
@@ -33,8 +35,8 @@ _MACHINES = [P.remove_non_kern_spines, P.normalize_rscale, P.remove_redundant_st
 _MACHINES += [P.delay_spine_merges_to_barline, P.remove_redundant_time_signatures, P.merge_header_clef_lines, P.canonicalize_note_order, P.order_notes, P.symbols_before_split]
 _MACHINES += [P.validate_spine_operations, P.repair_interpretation_spacing, P.fix_note_beams, P.fix_ties, P.fix_slurs]
 
-REGISTRY: dict[str, Pass] = {f.__name__: Pass(f.__name__, column=f) for f in _COLUMNS} | {f.__name__: Pass(f.__name__, machine=f) for f in _MACHINES}
-REGISTRY["remove_leading_barlines"] = Pass("remove_leading_barlines", column=P.remove_leading_barlines, check=P.leading_barlines_error)
+REGISTRY: dict[str, Pass] = {f.__name__: Pass(f.__name__, f, getattr(T, f.__name__)) for f in _COLUMNS} | {f.__name__: Pass(f.__name__, text=f) for f in _MACHINES}
+REGISTRY["remove_leading_barlines"] = Pass("remove_leading_barlines", P.remove_leading_barlines, T.remove_leading_barlines, P.leading_barlines_error)
 
 #: The full pipeline, in order.
 FULL = """
@@ -73,15 +75,18 @@ class Pipeline:
     def from_config(cls, text: str) -> Pipeline:
         return cls([p if isinstance(p, str) else p["name"] for p in json.loads(text)["passes"]])
 
-    def steps(self) -> list[list[Pass]]:
-        """Runs of passes of one kind."""
-        return [list(g) for _, g in groupby((REGISTRY[n] for n in self.names), key=lambda p: p.machine is not None)]
+    def steps(self) -> list[tuple[bool, list[Pass]]]:
+        """(in Python, passes) of at most three steps."""
+        found = [REGISTRY[n] for n in self.names]
+        machines = [i for i, p in enumerate(found) if p.column is None]
+        begin, end = (machines[0], machines[-1] + 1) if machines else (len(found), len(found))
+        return [(python, part) for python, part in ((False, found[:begin]), (True, found[begin:end]), (False, found[end:])) if part]
 
     def __call__(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` with ``text`` normalised, and columns error_type, error and drop_counts."""
         out = docs.withColumns({"error_type": F.lit(None).cast("string"), "error": F.lit(None).cast("string"), "drop_counts": F.create_map().cast("map<string,bigint>")})
-        for step in self.steps():
-            out = _machines(out, text, step) if step[0].machine else _columns(out, text, step)
+        for python, step in self.steps():
+            out = _machines(out, text, step) if python else _columns(out, text, step)
         return out
 
 
@@ -102,8 +107,8 @@ def _columns(df: DataFrame, text: str, step: list[Pass]) -> DataFrame:
 
 
 def _machines(df: DataFrame, text: str, step: list[Pass]) -> DataFrame:
-    """One Arrow hop for a run of state machines; all other columns pass through as they are."""
-    machines = [p.machine for p in step]
+    """One Arrow hop for the whole step; all other columns pass through as they are."""
+    machines = [p.text for p in step]
     names = df.columns
     at, kind, message, counts = (names.index(c) for c in (text, "error_type", "error", "drop_counts"))
 
@@ -125,9 +130,10 @@ def _machines(df: DataFrame, text: str, step: list[Pass]) -> DataFrame:
                 drops.append(list(found.items()))
             for i, new in ((at, texts), (kind, kinds), (message, messages), (counts, drops)):
                 columns[i] = pa.array(new, columns[i].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.mapInArrow(run, df.schema)
+    schema = T_.StructType([T_.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+    return df.mapInArrow(run, schema)
 
 
 def rejection_counts(done: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ def normalize_final_barline(c: Column) -> Column:
 
     def rewrite(rs: Column) -> Column:
         last = F.array_max(F.transform(rs, lambda r, i: F.when(K.is_bar_record(r), i)))
-        return K.let(last, lambda k: F.array_join(F.transform(rs, lambda r, i: F.when(i == k, row(r)).otherwise(r)), "\n"))
+        return K.let(last, lambda k: F.when(k.isNull(), c).otherwise(F.array_join(F.transform(rs, lambda r, i: F.when(i == k, row(r)).otherwise(r)), "\n")))
 
     return F.when(c == "", c).otherwise(K.let(K.lines(c), rewrite))
 

@@ -277,7 +277,7 @@ def summary(checked: DataFrame, result: str = "rhythm") -> DataFrame:
 
 def numbered_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, line_no, line): the long form that the stream checker reads."""
-    return docs.select("doc_id", F.posexplode(F.split(F.regexp_replace(text, "\n$", ""), "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    return docs.select("doc_id", F.posexplode(F.split(F.regexp_replace(text, "\n\\z", ""), "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def check_lines(pairs: Iterator[tuple[int, str]], **options: bool) -> dict:
