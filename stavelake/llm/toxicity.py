@@ -36,7 +36,7 @@ BUCKETS, SAMPLE, FEATURES, FACTORS = 1 << 20, 16_384, 4096, 8
 STEPS, PRIOR = 300, 0.05
 WORD = re.compile(r"[^\W_]+")
 #: Words without kept terms that a worker remembers.
-CLEAN = 400_000
+CLEAN = 250_000
 
 
 def terms(word: str) -> list[int]:
