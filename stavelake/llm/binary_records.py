@@ -32,7 +32,7 @@ from stavelake.llm.common import resident, storage, stored, work_dir
 MAGIC = b"SLTREC01"
 NULL_ID = -(1 << 63)
 #: Distinct words that a worker remembers: the last so many, and as many before them.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 STOPS = ".,;:!?"
 
 
