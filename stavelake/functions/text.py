@@ -116,17 +116,20 @@ def _symbols(own: Column, alphabet: Column) -> Column:
     return F.array_join(F.transform(own, point), "")
 
 
-@F.pandas_udf("int")
-def _slow_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    def distance(x: list, y: list) -> int:
-        row = list(range(len(y) + 1))
-        for i, p in enumerate(x, 1):
-            last, row[0] = row[0], i
-            for j, q in enumerate(y, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != q))
-        return row[-1]
-
-    return pd.Series([None if x is None or y is None else distance(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+def _slow_distance(a: Column | str, b: Column | str) -> Column:
+    @F.pandas_udf("int")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        def distance(x: list, y: list) -> int:
+            row = list(range(len(y) + 1))
+            for i, p in enumerate(x, 1):
+                last, row[0] = row[0], i
+                for j, q in enumerate(y, 1):
+                    last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != q))
+            return row[-1]
+
+        return pd.Series([None if x is None or y is None else distance(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+    return run(a, b)
 
 
 def sequence_distance(a: Column, b: Column) -> Column:
