@@ -37,6 +37,7 @@ from stavelake.llm.common import may_hold, release, stored
 LENGTH, GRAM = 200, 40
 #: Unlike runs of one gram that a single task compares.
 HOT = 8192
+SALTS = 32
 NULL_ID = -(1 << 63)
 
 _rng = np.random.default_rng(8)
@@ -214,8 +215,11 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tu
     # written, so that the join below deals both sides anew and can split a gram that many rows share
     repeated = stored(runs.groupBy("g").count().filter("count > 1").select("g"), "repeated-grams")
     left = stored(runs.join(repeated, "g"), "repeated-runs")
-    names = stored(left.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "mark", "place")).alias("one")), "names")
-    equal = left.join(names.filter("n > 1").select("g", "c"), ["g", "c"]).select(
+    # a name may hold most of the rows (a line that fills a text): counted and joined by name and salt
+    salted = left.withColumn("salt", F.pmod(F.xxhash64("doc", "place"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("g", "c", "salt").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "mark", "place")).alias("one"))
+    names = stored(parts.groupBy("g", "c").agg(F.sum("n").alias("n"), F.min("one").alias("one"), F.collect_list("salt").alias("salts")), "names")
+    equal = salted.join(names.filter("n > 1").select("g", "c", F.explode("salts").alias("salt")), ["g", "c", "salt"]).select(
         "doc", "mark", F.expr("shiftright(place, 20)").alias("first"), F.expr("place & 1048575").alias("windows")
     )
     unlike = names.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("n") == 1).alias("single")).filter("k > 1 and single > 0")
