@@ -8,7 +8,7 @@ Benchmark items come in blocks of ``ITEMS``, so that what goes to every task is
    the scaling can come after, and one pass gives the randomised singular vectors (Nyström's form) of the TF-IDF matrix.
 2. The latent space is spanned by the leading singular vectors and the items' own vectors, so projection never lowers an
    item's product with a passage.  A second pass takes windows of two passages and holds those that cover ``COVER`` of an
-   item's weight and have a cosine of ``COSINE`` with it in latent space.
+   item's weight (of a longer item's, as much less as it is longer) and have a cosine of ``COSINE`` with it in latent space.
 3. Each candidate is checked on words: the longest common subsequence of item and neighbourhood.  ``COPY`` of the item or
    more is a copy; ``PARAPHRASE`` or more is a paraphrase if the item's answer is there too (what follows "answer:",
    else its last sentence).
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from stavelake.llm.common import release
 
 ITEMS, STRIDE, RANK, OVERSAMPLE = 256, 32, 64, 32
-COVER, COSINE, COPY, PARAPHRASE, ANSWER = 0.3, 0.3, 0.8, 0.6, 0.8
+COVER, COSINE, COPY, PARAPHRASE, ANSWER = 0.3, 0.3, 0.7, 0.6, 0.8
 SLICE = 256
 GAP = 4  # passages between documents
 WORD = re.compile(r"\w+")
@@ -179,6 +179,10 @@ class Model:
     basis: np.ndarray  # terms x latent dimensions
     latent: np.ndarray  # latent dimensions x items, unit columns
 
+    @property
+    def least_cover(self) -> np.ndarray:
+        return COVER * np.minimum(1.0, 2 * STRIDE / np.array([len(w) for w in self.items.words]))
+
 
 def learn(docs: DataFrame, items: Items) -> Model:
     rng = np.random.default_rng(4)
@@ -221,6 +225,7 @@ def common(a: list[str], b: list[str]) -> int:
 class Searcher:
     def __init__(self, model: Model):
         self.model = model
+        self.least = model.least_cover.astype(np.float32)
 
     def candidates(self, hits: Hits) -> list[tuple[int, int, int, float]]:
         """(text, first word, item, cosine) of windows that pass in latent space."""
@@ -235,7 +240,7 @@ class Searcher:
         # windows: passage p with p + 1, and each p alone where the next has no terms
         follows = np.r_[at[1:] == at[:-1] + 1, False]
         cover[follows] += cover[np.flatnonzero(follows) + 1]
-        w, item = np.nonzero(cover >= COVER)
+        w, item = np.nonzero(cover >= self.least)
         if not len(w):
             return []
         chosen, spot = np.unique(w, return_inverse=True)

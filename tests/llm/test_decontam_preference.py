@@ -17,6 +17,7 @@ def words(n, tag):
 def test_leaks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "ITEMS", 7)  # several blocks
     items = [(k, " ".join(words(random.randint(15, 60), f"b{k}x")) + ". the answer" + str(k) + " was given.") for k in range(20)] + [(90, None), (91, "..."), (92, "")]
+    items[19] = (19, " ".join(words(420, "long")) + " Answer: forty two.")
     docs, want = [], set()
     for i in range(120):
         body = words(random.randint(0, 400), "d")
@@ -25,8 +26,8 @@ def test_leaks(spark, monkeypatch):
             own = items[k][1].split()
             at = random.randint(0, len(body))
             kind = i % 16
-            if kind == 4:  # paraphrase: one word in four replaced, answer there
-                own = [w if (j % 4 or j > len(own) - 5) else "other" for j, w in enumerate(own)]
+            if kind == 4:  # paraphrase: one word in three replaced, answer there
+                own = [w if (j % 3 or j > len(own) - 5) else "other" for j, w in enumerate(own)]
             if kind == 8:  # a third of the item is no leak
                 own = own[: len(own) // 3]
             else:
