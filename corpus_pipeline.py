@@ -16,7 +16,7 @@ from stavelake.session import ship
 
 TOXIC = 0.7
 #: Words that an encoding worker remembers.
-WORDS = 300_000
+WORDS = 120_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from stavelake.llm.common import resident
 
 LONG = 512
 #: Words in a recursive query, and words that a worker remembers (the older half goes when it is full).
-BATCH, CACHE = 40_000, 1_400_000
+BATCH, CACHE = 20_000, 1_400_000
 
 ENCODE = """
 with recursive state as (
@@ -139,7 +139,7 @@ class DuckBpe:
         begin = total = 0
         for k, i in enumerate([*short, None]):
             total += len(pieces[i]) ** 2 if i is not None else 0
-            if k > begin and (i is None or k - begin == BATCH or total > 3_000_000):
+            if k > begin and (i is None or k - begin == BATCH or total > 2_000_000):
                 for j, ids in zip(short[begin:k], self._short([pieces[j] for j in short[begin:k]]), strict=True):
                     out[j] = ids
                 begin, total = k, len(pieces[i]) ** 2 if i is not None else 0
@@ -206,7 +206,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, with_ids: bool =
                 keys.append(key)
                 texts.append(text)
                 size += len(text)
-                if size > 2 << 20:
+                if size > 1 << 20:
                     yield flush(keys, texts)
                     keys, texts, size = [], [], 0
         if keys:
