@@ -1,19 +1,18 @@
 """Suffix dedup: removal of every byte covered by a string of ``LENGTH`` bytes that also starts anywhere else.
 
-A difference cover is a set of sampled positions such that two equal stretches hold a sampled position at the same
-distance from their starts.  Positions modulo 3 are one; sorting the triples, the names and the merged suffixes of all
-bytes takes some 2/3 n rows at each level, which no budget here allows (figures in the README).  This cover is defined by
-content: of each window of ``LENGTH`` bytes, the leftmost place whose hash of ``GRAM`` bytes is least.  It has the property
-for all windows, with one position in about 80.
-
-1. Sample: windows with the same sampled position form a run.  A run is named by the gram there (``g``) and by the
-   string from its first window's start to its last window's end (``c``).
-2. Names that occur once fall away: a window whose gram is unique has no equal.
-3. Recursion on what remains: runs with equal (g, c) have equal windows throughout.  Runs with equal g but unlike c are
-   cut into their single windows.
-4. Merge and compare: the windows of runs with the same g are compared as bytes with one another; a window that occurs
-   twice is removed.  A gram with more than ``HOT`` unlike runs is compared by rows of window names, over all tasks.
-
+The suffix array comes in two levels of difference covers.  A cover is a set of sampled positions such that two equal
+stretches hold a sampled position at the same distance from their starts.
+
+1. The first cover is defined by content and deals the text to tasks: of each window of ``LENGTH`` bytes, the leftmost
+   place whose hash of ``GRAM`` bytes is least, one position in about 80.  Windows with the same sampled position form a
+   run, named by the gram there (``g``) and by the string from its first window's start to its last window's end (``c``).
+2. Names that occur once fall away: a window whose gram is unique has no equal.  Runs with equal (g, c) have equal
+   windows throughout.
+3. Runs with equal g but unlike c go to the task of their gram, which sorts their suffixes by the cover modulo 3: it sorts
+   sampled triples, recurses on names, merges the remaining suffixes, and compares the prefixes of neighbours.  A gram with
+   more than ``HOT`` unlike runs is compared by rows of window names, over all tasks.
+
+A cover modulo 3 over all bytes at once would shuffle two thirds of all positions at each level (figures in the README).
 Only the texts that can matter are shuffled: a bitmap of fixed size lets pass those with a repeated name.
 
 Defined results: null and empty texts, and texts shorter than ``LENGTH``, lose nothing; equal texts (repeated rows too) of
@@ -23,7 +22,6 @@ Defined results: null and empty texts, and texts shorter than ``LENGTH``, lose n
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stavelake.llm.common import may_hold, release, stored
+from stavelake.llm.difference_cover import repeated_starts
 
 LENGTH, GRAM = 200, 40
 #: Unlike runs of one gram that a single task compares.
-HOT = 8192
+HOT = 2048
+#: Bytes of runs whose suffixes are sorted together, and more up to the end of a gram.
+SHARE = 1 << 19
 SALTS = 32
 NULL_ID = -(1 << 63)
 
@@ -151,31 +152,34 @@ def contexts(rows: DataFrame, needed: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_windows(ctx: DataFrame, length: int) -> DataFrame:
-    """(doc, mark, first, windows): stretches of windows that occur twice among the runs of their gram, compared as bytes."""
+    """(doc, mark, first, windows): stretches of windows that occur twice among the runs of their gram.
+
+    Grams are dealt to tasks; a task sorts the suffixes of its runs, a share at a time, by the difference cover modulo 3 and
+    compares the prefixes of neighbours.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         types, names = [pa.int64()] * 4, ["doc", "mark", "first", "windows"]
 
-        def finish(group: list) -> Iterator[tuple]:
-            found = Counter(d[i : i + length] for _, _, _, d in group for i in range(len(d) - length + 1))
-            twice = {w for w, k in found.items() if k > 1}
-            for doc, mark, first, d in group:
-                yield from stretches(doc, mark, first, [i for i in range(len(d) - length + 1) if d[i : i + length] in twice])
+        def finish(group: list) -> pa.RecordBatch | None:
+            out = []
+            for (doc, mark, first, _), twice in zip(group, repeated_starts([x[3] for x in group], length), strict=True):
+                out += stretches(doc, mark, first, np.flatnonzero(twice).tolist())
+            return _batch(out, types, names) if out else None
 
-        out, group, at = [], [], None
+        group, size, at = [], 0, None
         for batch in batches:
             for g, doc, mark, first, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if g != at:
-                    out += finish(group)
-                    group, at = [], g
-                    if len(out) > 50_000:
-                        yield _batch(out, types, names)
-                        out = []
+                if g != at and size >= SHARE:  # whole grams only
+                    if (made := finish(group)) is not None:
+                        yield made
+                    group, size = [], 0
+                at = g
                 group.append((doc, mark, first, data))
-        out += finish(group)
-        if out:
-            yield _batch(out, types, names)
+                size += len(data)
+        if group and (made := finish(group)) is not None:
+            yield made
 
     dealt = ctx.repartition("g").sortWithinPartitions("g")
     return dealt.select("g", "doc", "mark", "first", "data").mapInArrow(run, "doc long, mark long, first long, windows long")

@@ -63,3 +63,18 @@ def test_stage_and_odd_tables(spark):
     assert sorted((r.doc_id or -1, r.text or "", r.doc) for r in got) == sorted((i or -1, "" if t and t[0] == "q" else t or "", "x") for i, t in rows)
     none = docs.limit(0)
     assert suffix_dedup.dedup_report(none).count() == 0 and suffix_dedup.deduplicated(none).columns == docs.columns
+
+
+def test_suffix_order_is_sorted():
+    import numpy as np
+
+    from stavelake.llm.difference_cover import repeated_starts, suffix_order
+
+    for k in range(300):
+        s = np.array(random.choices(range(1, random.choice([2, 3, 5, 300])), k=random.randint(1, 70)) if k % 7 else [1] * random.randint(1, 90), np.int64)
+        assert suffix_order(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist()), s
+    strings = [bytes(random.choices(b"ab\0\xff", k=random.randint(0, 60))) for _ in range(40)]
+    for length in (3, 8, 11, 16):
+        found = Counter(x[i : i + length] for x in strings for i in range(len(x) - length + 1))
+        got = repeated_starts(strings, length)
+        assert [g.tolist() for g in got] == [[found[x[i : i + length]] > 1 for i in range(len(x) - length + 1)] for x in strings]
