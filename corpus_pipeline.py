@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stavelake.llm import decontam, duck_bpe, ngram_join, suffix_dedup, toxicity
-from stavelake.llm.common import stored, table
+from stavelake.llm.common import discard, stored, table
 from stavelake.session import ship
 
 TOXIC = 0.7
@@ -66,6 +66,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    last = None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            discard(last)
+        last = docs
     return docs

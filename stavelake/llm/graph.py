@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import stored
+from stavelake.llm.common import discard, stored
 
 SALTS = 32
 
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = _least_neighbour(both).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _least_neighbour(large)
         joined = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        star = stored(joined.filter("u <> v").distinct(), "stars")
+        last, star = star, stored(joined.filter("u <> v").distinct(), "stars")
+        discard(last)
         now = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import may_hold, release, stored
+from stavelake.llm.common import discard, may_hold, release, stored
 from stavelake.llm.graph import connected_components
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 96
@@ -245,6 +245,7 @@ def jaccard_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, re
         "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "block", "text"
     )
     found = stored(verify(blocks, shingler, threshold), "links")
+    discard(parts_of)
     links = found.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n_links"))
     groups = connected_components(found.filter("b is not null").select("a", "b")).select(F.col("node").alias("cid"), F.col("root").alias("group_id"))
     known = classes.select("key", "class_id", "cid", F.explode("salts").alias("salt")).join(links, "cid", "left").join(groups, "cid", "left")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import may_hold, release, stored
+from stavelake.llm.common import discard, may_hold, release, stored
 from stavelake.llm.difference_cover import repeated_starts
 
 LENGTH, GRAM = 200, 40
@@ -234,7 +234,9 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tu
     cold = repeated_windows(ctx.join(hot, "g", "left_anti"), length)
     warm = repeated_windows_hot(ctx.join(hot, "g", "left_semi"), length)
     spans = equal.unionByName(cold).unionByName(warm).groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
-    return rows, stored(spans, "spans")
+    made = stored(spans, "spans")
+    discard(runs, repeated, left, names, needed, ctx)
+    return rows, made
 
 
 def kept_bytes(data: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes, int]:

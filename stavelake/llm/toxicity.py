@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import release, resident, stored
+from stavelake.llm.common import discard, release, resident, stored
 
 BUCKETS, SAMPLE, FEATURES, FACTORS = 1 << 20, 16_384, 4096, 8
 STEPS, PRIOR = 300, 0.05
@@ -179,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, s
 
     cases = rows.mapInArrow(active, "active array<int>, label int").groupBy("active", "label").agg(F.count("label").alias("n"))
     got = sorted(((r["active"], r["label"], r["n"]) for r in cases.collect()), key=lambda x: (x[1], x[0]))  # at most sample rows
+    discard(rows)
     indptr = np.cumsum([0, *(len(x[0]) for x in got)])
     indices = np.array([i for x in got for i in x[0]], np.int64)
     return fit(indptr, indices, np.array([x[1] for x in got], float), np.array([x[2] for x in got], float), len(chosen), chosen)
