@@ -6,12 +6,11 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +67,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def salted_group_value(rows: DataFrame, key: list[str], salt_of: str, value: Column, salts: int = 64, also: list[Column] = ()) -> DataFrame:
+def salted_group_value(rows: DataFrame, key: list[str], salt_of: str, value: Column, salts: int = 64) -> DataFrame:
     """``rows`` with ``group_value``, an aggregate over each key, without one task per key.
 
     The aggregate must combine with ``max``.  Rows carry a salt from ``salt_of``; partial results are made by
@@ -84,22 +83,6 @@ def salted_group_value(rows: DataFrame, key: list[str], salt_of: str, value: Col
     return salted.join(dealt, [*key, "salt_"], "left").drop("salt_")
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], size_of: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices whose column ``size_of`` (text or binary) holds about ``limit`` bytes, one row at least."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        col = batch.column(batch.schema.get_field_index(size_of))
-        lengths = [0 if x is None else x for x in pa.compute.binary_length(col).to_pylist()]
-        begin = total = 0
-        for i, n in enumerate(lengths):
-            if i > begin and total + n > limit:
-                yield batch.slice(begin, i - begin)
-                begin, total = i, 0
-            total += n
-        yield batch.slice(begin)
-
-
 def may_hold(ids: DataFrame, *columns: str, bits: int = 1 << 24) -> Column:
     """A condition on ``columns`` that holds for every row of ``ids`` and few others: a bitmap of ``bits`` bits.
 
