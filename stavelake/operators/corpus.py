@@ -266,3 +266,70 @@ def exact_rank(df: DataFrame, order: list[str]) -> DataFrame:
     counts = ranged.groupBy("part_").agg(F.count(F.lit(1)).alias("c"))
     shift = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ranged.join(F.broadcast(shift.select("part_", "before")), "part_").withColumn("rank", F.col("in_part") + F.col("before")).drop("part_", "in_part", "before")
+
+
+def remove_rows(df: DataFrame, index: str, gone: list[int]) -> DataFrame:
+    return df.filter(~F.col(index).isin(gone))
+
+
+def size_violations(df: DataFrame, width: str, height: str, wanted: tuple[int, int]) -> DataFrame:
+    return df.filter((F.col(width) != wanted[0]) | (F.col(height) != wanted[1]))
+
+
+def cohort_summary(df: DataFrame, kept: Column, value: str) -> DataFrame:
+    """(cohort, n, mean, low, high, p95) before a filter, after it, and of what it removed."""
+    rows = df.select(F.explode(F.array(F.lit("before"), F.when(kept, "after").otherwise("removed"))).alias("cohort"), F.col(value).alias("v"))
+    return rows.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile("v", 0.95).alias("p95"))
+
+
+def exact_hash_split(df: DataFrame, path: str, validation: int, preview: int, seed: int) -> DataFrame:
+    """``df`` with ``split`` and ``preview``: the ``validation`` rows whose SHA-256 of ``split``, seed and path (parted by
+    NUL) comes first validate; of these the first ``preview`` by a hash with another salt are shown."""
+
+    def key(salt: str) -> Column:
+        return F.sha2(F.concat(F.lit(salt), F.lit("\0"), F.lit(str(seed)), F.lit("\0"), F.col(path)), 256)
+
+    if validation < 1 or preview < 1:
+        raise ValueError("sizes must be >= 1")
+    held = df.select(path).orderBy(key("split"), path).limit(validation)
+    shown = held.orderBy(key("preview"), path).limit(preview).withColumn("preview", F.lit(True))
+    marks = held.join(shown, path, "left").withColumn("split", F.lit("validation"))
+    out = df.join(marks, path, "left")
+    return out.withColumns({"split": F.coalesce("split", F.lit("train")), "preview": F.coalesce("preview", F.lit(False))})
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows without replacement, by hash of seed and key."""
+    return df.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key).limit(n)
+
+
+def join_complete(left: DataFrame, right: DataFrame, key: str, what: str) -> DataFrame:
+    """Inner join that wants a partner for every row of ``left``; names up to five that have none."""
+    absent = left.join(right.select(key), key, "left_anti").select(key).distinct().orderBy(key).limit(5).collect()
+    if absent:
+        raise KeyError(f"Missing {what} for: {', '.join(str(r[0]) for r in absent)}")
+    return left.join(right, key)
+
+
+def matched_and_unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(inner join, rows of ``left`` without a partner)."""
+    return left.join(right, keys), left.join(right.select(*keys).distinct(), keys, "left_anti")
+
+
+def split_and_index(name: Column) -> Column:
+    """STRUCT of split and idx from names like ``train_000012.krn``, null for others."""
+    found = name.rlike(r"^[a-z]+_\d+\.krn$")
+    return F.when(found, F.struct(F.regexp_extract(name, r"^([a-z]+)_", 1).alias("split"), F.regexp_extract(name, r"_(\d+)\.krn$", 1).cast("long").alias("idx")))
+
+
+def latest_run(runs: DataFrame, name: str, pointer: str | None = None) -> Column:
+    """Aggregate: the pointer's run, else the name whose numbers, in order, are greatest."""
+    numbers = F.transform(F.regexp_extract_all(F.col(name), F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("long"))
+    best = F.max_by(name, numbers)
+    return F.coalesce(F.lit(pointer), best) if pointer else best
+
+
+def latest_event(events: DataFrame, key: str, at: str) -> DataFrame:
+    """The last row of each key."""
+    rest = [c for c in events.columns if c != key]
+    return events.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(at)).alias("e")).select(key, "e.*")

@@ -164,3 +164,18 @@ def test_corpus_odds(spark):
     batches = corpus.bucket_batches(spark.range(45).withColumn("size", F.col("id")), "size", "id", 4, drop_last=True)
     assert batches.groupBy("batch").count().select("count").distinct().collect()[0][0] == 4 and batches.count() == 44
     assert corpus.union_aligned(a, a.withColumn("extra", F.lit(1))).count() == 2
+
+
+def test_lookups(spark):
+    runs = spark.createDataFrame([("run_2_10",), ("run_10_1",), ("run_9_99",)], "name string")
+    assert runs.agg(corpus.latest_run(runs, "name")).first()[0] == "run_10_1" and runs.agg(corpus.latest_run(runs, "name", "x")).first()[0] == "x"
+    names = spark.createDataFrame([("train_000012.krn",), ("Train_1.krn",)], "n string")
+    got = [r[0] for r in names.select(corpus.split_and_index(F.col("n"))).collect()]
+    assert tuple(got[0]) == ("train", 12) and got[1] is None
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string")
+    matched, rest = corpus.matched_and_unmatched(a, b, ["k"])
+    assert matched.count() == 1 and [r.k for r in rest.collect()] == [2]
+    with pytest.raises(KeyError, match="Missing gold for: 2"):
+        corpus.join_complete(a, b, "k", "gold")
+    assert corpus.join_complete(a.filter("k = 1"), b, "k", "gold").count() == 1
+    assert corpus.remove_rows(a, "k", [1]).count() == 1 and corpus.size_violations(a.withColumn("h", F.lit(2)), "k", "h", (1, 2)).count() == 1
