@@ -9,8 +9,6 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,24 +81,19 @@ def salted_group_value(rows: DataFrame, key: list[str], salt_of: str, value: Col
     return salted.join(dealt, [*key, "salt_"], "left").drop("salt_")
 
 
-def may_hold(ids: DataFrame, *columns: str, bits: int = 1 << 24) -> Column:
-    """A condition on ``columns`` that holds for every row of ``ids`` and few others: a bitmap of ``bits`` bits.
+def may_hold(rows: DataFrame, ids: DataFrame, *columns: str, bits: int = 1 << 24) -> DataFrame:
+    """``rows`` with ``held__``: true for every row whose ``columns`` are in ``ids``, and for few others.
 
-    It keeps rows that cannot match out of a shuffle; what passes must still be joined.
+    ``ids`` becomes a bitmap of ``bits`` bits, at most 512 rows of 4 KB for the default, which is what is broadcast.  It
+    keeps rows that cannot match out of a shuffle; what passes must still be joined.
     """
     place = F.pmod(F.xxhash64(*columns), F.lit(bits))
-    maps = ids.select(place.alias("at")).groupBy(F.expr("at div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("at % 32768")).alias("map"))
-    whole = np.zeros((max(1, bits // 32768), 4096), np.uint8)
-    for r in maps.collect():  # bits / 32768 rows of 4 KB at most
-        whole[r["part"], : len(r["map"])] = np.frombuffer(r["map"], np.uint8)
-    flat = whole.reshape(-1)
-
-    @F.pandas_udf("boolean")
-    def held(at: pd.Series) -> pd.Series:
-        x = at.to_numpy()
-        return pd.Series((flat[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
-
-    return held(place)
+    part, bit = F.floor(place / 32768).cast("int"), (place % 32768).cast("int")
+    maps = ids.select(part.alias("part__"), bit.cast("long").alias("bit__")).groupBy("part__").agg(F.bitmap_construct_agg("bit__").alias("map__"))
+    met = rows.withColumns({"part__": part, "bit__": bit}).join(F.broadcast(maps), "part__", "left")
+    byte = F.conv(F.hex(F.substring("map__", F.floor(F.col("bit__") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.floor(byte / F.pow(F.lit(2), F.col("bit__") % 8)) % 2 == 1, F.lit(False))
+    return met.withColumn("held__", held).drop("part__", "bit__", "map__")
 
 
 _resident: dict[str, Any] = {}

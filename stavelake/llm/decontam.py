@@ -89,6 +89,11 @@ class Hits:
         self.passages = 0
         self.base = 0
 
+    @property
+    def full(self) -> bool:
+        """Time to work them off: a hit takes a row of as many numbers as there are items."""
+        return len(self.found) > 1 << 13 or self.base > 1 << 18
+
     def add(self, text: str | None) -> list[str]:
         terms, words = self.terms, (text or "").lower().split()
         self.starts.append(self.base)
@@ -129,7 +134,7 @@ def gather(docs: DataFrame, items: Items, test: np.ndarray) -> tuple[int, np.nda
         for batch in batches:
             for text in batch.column(0):
                 hits.add(text.as_py())
-                if hits.base > 1 << 18:
+                if hits.full:
                     flush()
         flush()
         slices = range(0, size, SLICE)
@@ -205,7 +210,7 @@ def learn(docs: DataFrame, items: Items) -> Model:
     latent = basis.T @ vectors
     latent /= np.maximum(np.linalg.norm(latent, axis=0), 1e-12)
     cover = weights[:, None] * vectors / np.maximum((vectors**2).sum(0), 1e-12)
-    return Model(items, weights, vectors, cover.astype(np.float32), basis.astype(np.float32), latent.astype(np.float32))
+    return Model(items, weights, vectors, np.minimum(cover, 1).astype(np.float32), basis.astype(np.float32), latent.astype(np.float32))
 
 
 def common(a: list[str], b: list[str]) -> int:
@@ -236,7 +241,7 @@ class Searcher:
         passage = places // STRIDE
         first = np.flatnonzero(np.r_[True, np.diff(passage) != 0])
         at = passage[first]
-        cover = np.add.reduceat(np.minimum(m.cover[terms], 1), first)
+        cover = np.add.reduceat(m.cover[terms], first)
         # windows: passage p with p + 1, and each p alone where the next has no terms
         follows = np.r_[at[1:] == at[:-1] + 1, False]
         cover[follows] += cover[np.flatnonzero(follows) + 1]
@@ -271,7 +276,7 @@ class Searcher:
         for k, text in enumerate([*texts, None]):
             if k < len(texts):
                 held.append(hits.add(text))
-            if hits.base > 1 << 18 or k == len(texts):
+            if hits.full or k == len(texts):
                 best: dict[tuple[int, int], tuple] = {}
                 for t, at, item, cosine in self.candidates(hits):
                     share, there, verdict = self.check(held[t], at, item)

@@ -262,7 +262,7 @@ def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     groups = stored(jaccard_groups(docs, n, threshold, recall).filter("doc_id is not null"), "groups")
     gone = groups.filter("doc_id <> group_id").select(F.col("doc_id").alias("gone__")).distinct()
     again = groups.groupBy(F.col("doc_id").alias("gone__")).count().filter("count > 1").select("gone__")
-    marked = docs.withColumn("gone__", F.col("doc_id"))
-    held = F.coalesce(may_hold(gone.unionByName(again), "gone__"), F.lit(False)) & F.col("gone__").isNotNull()
+    marked = may_hold(docs.withColumn("gone__", F.col("doc_id")), gone.unionByName(again), "gone__")
+    held = F.col("held__") & F.col("gone__").isNotNull()
     kept = marked.filter(held).join(gone, "gone__", "left_anti").dropDuplicates(["gone__"])
     return kept.select(*docs.columns).unionByName(marked.filter(~held).select(*docs.columns))

@@ -147,7 +147,7 @@ def contexts(rows: DataFrame, needed: DataFrame, length: int) -> DataFrame:
         if out:
             yield _batch(out, types, names)
 
-    texts = rows.filter(may_hold(needed, "doc", "mark")).dropDuplicates(["doc", "mark"])
+    texts = may_hold(rows, needed, "doc", "mark").filter("held__").drop("held__").dropDuplicates(["doc", "mark"])
     return texts.join(lists, ["doc", "mark"]).select("doc", "mark", "text", "runs").mapInArrow(run, "g long, doc long, mark long, first long, data binary")
 
 
@@ -259,7 +259,7 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]], length: int) -> tuple[
 def dedup_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     rows, spans = removed_spans(docs, length, gram)
-    held = may_hold(spans, "doc", "mark")
+    rows = may_hold(rows, spans, "doc", "mark")
     doc_id = F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,8 +275,8 @@ def dedup_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 yield _batch(out, types, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    touched = rows.filter(held).join(spans, ["doc", "mark"], "left").select(doc_id, "text", "spans").mapInArrow(run, schema)
-    clean = rows.filter(~held).select(
+    touched = rows.filter("held__").join(spans, ["doc", "mark"], "left").select(doc_id, "text", "spans").mapInArrow(run, schema)
+    clean = rows.filter("not held__").select(
         doc_id, F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")
     )
     return touched.unionByName(clean)
@@ -300,9 +300,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         )
 
     renamed = spans.select(F.col("doc").alias("doc__"), F.col("mark").alias("mark__"), F.col("spans").alias("spans__"))
-    held = may_hold(renamed, "doc__", "mark__")
-    joined = known.filter(held).join(renamed, ["doc__", "mark__"], "left")
+    known = may_hold(known, renamed, "doc__", "mark__")
+    joined = known.filter("held__").join(renamed, ["doc__", "mark__"], "left")
     done = joined.withColumn("text", F.when(F.col("spans__").isNull(), F.col("text")).otherwise(cut("text", "spans__")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("spans__").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return done.select(*docs.columns).unionByName(known.filter(~held).select(*docs.columns))
+    return done.select(*docs.columns).unionByName(known.filter("not held__").select(*docs.columns))
