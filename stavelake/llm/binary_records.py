@@ -94,11 +94,13 @@ class WordEncoder:
 
     def _learn(self, new: set[str]) -> None:
         """A stop after a letter is a pre-token of its own, and letters of ASCII words fold as the normalizer folds them."""
-        known, old, need, derived = self.known, self.old, set(), []
-        for w in new:
-            if w in old:
-                known[w] = old[w]
-                continue
+        known, old, derived = self.known, self.old, []
+        again = new & old.keys()
+        known.update({w: old[w] for w in again})
+        new -= again
+        plain = {w for w in new if w.islower() and w.isalpha()}
+        need = set(plain)
+        for w in new - plain:
             word, stop = (w[:-1], w[-1]) if w[-1] in STOPS and w[-2:-1].isalpha() else (w, "")
             if self.folds and not word.islower() and word.isascii() and "<" not in word:
                 word = word.lower()
@@ -109,7 +111,7 @@ class WordEncoder:
                     known[word] = old[word]
                 else:
                     need.add(word)
-        letters = [w for w in need if w.isalpha()] if self.suffix else []
+        letters = [w for w in need if w in plain or w.isalpha()] if self.suffix else []
         for words, step, ids in ((letters, 1000, self._letters), (list(need.difference(letters)), 20_000, self._ids)):
             for k in range(0, len(words), step):
                 known.update(zip(words[k : k + step], ids(words[k : k + step]), strict=True))
