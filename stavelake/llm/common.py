@@ -96,6 +96,14 @@ def may_hold(rows: DataFrame, ids: DataFrame, *columns: str, bits: int = 1 << 24
     return met.withColumn("held__", held).drop("part__", "bit__", "map__")
 
 
+def packed(docs: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all but the ``keep`` columns in one struct, so that no name of theirs can clash, and what undoes it."""
+    kept, rest = [c for c in docs.columns if c in keep], [c for c in docs.columns if c not in keep]
+    out = docs.select(*kept, *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest__")] if rest else []))
+    back = [F.col(c) if c in keep else F.col("rest__").getField(c).alias(c) for c in docs.columns]
+    return out, lambda df: df.select(*back)
+
+
 _resident: dict[str, Any] = {}
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import discard, may_hold, release, stored
+from stavelake.llm.common import discard, may_hold, packed, release, stored
 from stavelake.llm.graph import connected_components
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 96
@@ -259,10 +259,11 @@ def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
 
     Of rows that repeat a doc_id one stays; rows without a doc_id stay.  Only rows that may go are shuffled.
     """
+    docs, unpacked = packed(docs, "doc_id", "text")
     groups = stored(jaccard_groups(docs, n, threshold, recall).filter("doc_id is not null"), "groups")
     gone = groups.filter("doc_id <> group_id").select(F.col("doc_id").alias("gone__")).distinct()
     again = groups.groupBy(F.col("doc_id").alias("gone__")).count().filter("count > 1").select("gone__")
     marked = may_hold(docs.withColumn("gone__", F.col("doc_id")), gone.unionByName(again), "gone__")
     held = F.col("held__") & F.col("gone__").isNotNull()
     kept = marked.filter(held).join(gone, "gone__", "left_anti").dropDuplicates(["gone__"])
-    return kept.select(*docs.columns).unionByName(marked.filter(~held).select(*docs.columns))
+    return unpacked(kept.select(*docs.columns).unionByName(marked.filter(~held).select(*docs.columns)))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import discard, may_hold, release, stored
+from stavelake.llm.common import discard, may_hold, packed, release, stored
 from stavelake.llm.difference_cover import repeated_starts
 
 LENGTH, GRAM = 200, 40
@@ -285,6 +285,7 @@ def dedup_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with ``text`` cut to what remains (a character that lost some of its bytes goes) and ``n_chars`` of it.
     Texts that lose nothing stay as they are, null or not; all other columns pass."""
+    docs, unpacked = packed(docs, "doc_id", "text", "n_chars")
     spans = removed_spans(docs, length, gram)[1]
     text = F.coalesce(F.col("text"), F.lit(""))
     known = docs.withColumns({"doc__": F.coalesce("doc_id", F.lit(NULL_ID)), "mark__": F.xxhash64(text)})
@@ -305,4 +306,4 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     done = joined.withColumn("text", F.when(F.col("spans__").isNull(), F.col("text")).otherwise(cut("text", "spans__")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("spans__").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return done.select(*docs.columns).unionByName(known.filter("not held__").select(*docs.columns))
+    return unpacked(done.select(*docs.columns).unionByName(known.filter("not held__").select(*docs.columns)))

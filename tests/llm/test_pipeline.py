@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from stavelake.llm import toxicity
+from stavelake.llm import ngram_join, suffix_dedup, toxicity
 
 random.seed(41)
 BASE = [a + b for a in ("ba", "ce", "di", "fo", "gu", "ha", "ki", "lo") for b in ("ma", "ne", "pi", "ro", "su", "ta", "ve", "xo")]
@@ -95,6 +95,17 @@ def test_run(spark, planted):
     assert got == left - set(near[1:]) - set(empty[1:])
 
 
+def test_clashing_columns(spark):
+    names = ["held__", "gone__", "part__", "map__", "bit__", "spans__", "doc__", "salt", "key", "g", "rest", "a.b"]
+    rows = [(1, "z" * 300, *range(12)), (1, "z" * 300, *range(12)), (2, "z" * 300 + " y", *range(12)), (3, None, *[None] * 12), (None, "", *range(12))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    one = ngram_join.one_of_each_group(docs)
+    assert one.columns == docs.columns and sorted(map(tuple, one.collect()), key=str) == sorted([rows[0], rows[2], rows[3], rows[4]], key=str)
+    cut = suffix_dedup.deduplicated(docs)
+    assert cut.columns == docs.columns and {r[2:] for r in map(tuple, cut.collect()) if r[0] != 3} == {tuple(range(12))}
+    assert cut.schema == docs.schema or [f.dataType for f in cut.schema] == [f.dataType for f in docs.schema]
+
+
 def test_toxicity_pairs_of_terms():
     """Two terms that are harmless alone: the machine's score for both exceeds what its weights add up to."""
     import numpy as np
