@@ -116,7 +116,7 @@ def _scan(rows: list[str], state: Boundary | None) -> Boundary | None:
         if state is None:
             state = [[None] * len(found) for _ in _TRACKED]
         if len(found) != len(state[0]):
-            raise ValueError("Encountered unexpected spine-count change while scanning composed segment")
+            raise ValueError("the width changes without an operation")
         state = [[f if p.match(f) else old for f, old in zip(found, values, strict=True)] for p, values in zip(_TRACKED, state, strict=True)]
         if is_split(r) or is_merge(r):
             state = [advance(values, found, merge=lambda group: group[0] if len(set(group)) == 1 else None) for values in state]
@@ -127,7 +127,7 @@ def compose(texts: list[str]) -> str:
     """One document: later headers become the records that change clef, key or meter, inner terminators go, and the last
     barline gets the first width back."""
     if not texts:
-        raise ValueError("Cannot compose an empty sample")
+        raise ValueError("no segments")
     state: Boundary | None = None
     out: list[str] = []
     for i, text in enumerate(texts):
@@ -139,14 +139,14 @@ def compose(texts: list[str]) -> str:
                 continue
             start = start or [[None] * width for _ in _TRACKED]
             if width != len(state[0]):
-                raise ValueError(f"Boundary spine count mismatch after terminal restoration: {len(state[0])} -> {width}")
+                raise ValueError(f"a segment of {width} spines after one of {len(state[0])}")
             changes = [[new if new is not None and new != old else "*" for new, old in zip(a, b, strict=True)] for a, b in zip(start, state, strict=True)]
             rows = ["\t".join(c) for c in changes if set(c) != {"*"}] + rows
         state = _scan(rows, state)
         out += rows
     composed = "\n".join(out).strip("\n")
     if not composed:
-        raise ValueError("Composed transcription is empty")
+        raise ValueError("nothing left of the segments")
     return restore_width(composed) + "\n"
 
 

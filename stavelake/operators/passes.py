@@ -81,7 +81,7 @@ def remove_leading_barlines(c: Column) -> Column:
 def leading_barlines_error(c: Column) -> Column:
     """A text with barlines but no data cannot be right."""
     rs = K.records(c)
-    return F.when(F.exists(rs, K.is_bar_record) & ~F.exists(rs, K.is_data_record), "Barline found before first musical data")
+    return F.when(F.exists(rs, K.is_bar_record) & ~F.exists(rs, K.is_data_record), "barlines but no data")
 
 
 def remove_null_lines(c: Column) -> Column:
@@ -219,7 +219,7 @@ def remove_non_kern_spines(text: str, stats: Stats) -> str:
         try:
             mask = advance(mask, found, merge=any)
         except SpineError as why:
-            raise SpineError(f"Cannot safely remove non-kern spines: {why}") from why
+            raise SpineError(f"spines cannot be told apart: {why}") from why
     return "\n".join(out)
 
 
@@ -236,7 +236,7 @@ def _scaled(token: str, scale: Fraction, line: int) -> str:
     wrap, whole, rational, below, dots = found.groups()
     if rational:
         if not below or not int(below):
-            raise ValueError(f"line {line}: malformed rational duration in token {token!r}")
+            raise ValueError(f"line {line}: no denominator in {token!r}")
         base = Fraction(int(whole), int(below))
     else:
         base = Fraction(2 ** len(whole)) if not int(whole) else Fraction(1, int(whole))
@@ -246,7 +246,7 @@ def _scaled(token: str, scale: Fraction, line: int) -> str:
     elif base.numerator == 1 and base.denominator in RECIPROCALS:
         text = str(base.denominator)
     else:
-        raise ValueError(f"line {line}: scaled duration {base.numerator}/{base.denominator} is not representable in the supported reciprocal duration set")
+        raise ValueError(f"line {line}: {base} whole notes have no reciprocal")
     return wrap + text + dots + token[found.end() :]
 
 
@@ -263,7 +263,7 @@ def normalize_rscale(text: str, stats: Stats) -> str:
         found = r.split("\t")
         scales = scales if scales is not None else [Fraction(1)] * len(found)
         if len(found) != len(scales):
-            raise ValueError(f"line {line}: record width mismatch: expected {len(scales)} fields, got {len(found)}")
+            raise ValueError(f"line {line}: {len(found)} fields where {len(scales)} spines are open")
         if not is_interpretation(found):
             out.append("\t".join(f if f == "" or f[0] in "=*!" else " ".join(_scaled(t, s, line) if t else t for t in f.split(" ")) for f, s in zip(found, scales, strict=True)))
             continue
@@ -271,15 +271,15 @@ def normalize_rscale(text: str, stats: Stats) -> str:
         for i, f in enumerate(found):
             if m := re.fullmatch(r"\*rscale:(\d+)(?:/(\d+))?", f):
                 if m[2] and not int(m[2]):
-                    raise ValueError(f"invalid *rscale denominator in {f!r}")
+                    raise ValueError(f"line {line}: zero denominator in {f!r}")
                 scales[i] = Fraction(int(m[1]), int(m[2] or 1))
                 if scales[i] not in (2, 1, Fraction(1, 2)):
-                    raise ValueError(f"line {line}: unsupported *rscale value {f!r}")
+                    raise ValueError(f"line {line}: scale {f!r} is not 2, 1 or 1/2")
                 shown[i] = "*"
 
         def one(group: list[Fraction], line: int = line) -> Fraction:
             if len(set(group)) > 1:
-                raise ValueError(f"Line {line}: cannot merge spines with different active *rscale values: {', '.join(map(str, sorted(set(group))))}")
+                raise ValueError(f"line {line}: merged spines have scales {', '.join(map(str, sorted(set(group))))}")
             return group[0]
 
         try:
@@ -648,11 +648,11 @@ def validate_spine_operations(text: str, stats: Stats) -> str:
         found = r.split("\t")
         state = state if state is not None else [0] * len(found)
         if len(found) != len(state):
-            raise SpineError(f"Line {line}: expected {len(state)} spine fields, got {len(found)}. Row: {r!r}")
+            raise SpineError(f"line {line}: {len(found)} fields where {len(state)} spines are open: {r!r}")
         try:
             state = advance(state, found)
         except SpineError as why:
-            raise type(why)(f"Line {line}: {why}. Row: {r!r}") from why
+            raise type(why)(f"line {line}: {why}: {r!r}") from why
     return text
 
 
@@ -666,12 +666,12 @@ def repair_interpretation_spacing(text: str, stats: Stats) -> str:
                 tries = [re.sub(" {2,}", "\t", r), "\t".join(r.split())]
                 fixed = next((t for t in tries if len(t.split("\t")) == len(state)), None)
                 if fixed is None:
-                    raise ValueError(f"Cannot repair interpretation line to have {len(state) - 1} tabs: {r!r}")
+                    raise ValueError(f"line {line}: no way to read {len(state)} fields in {r!r}")
                 r = fixed
             try:
                 state = advance(state, r.split("\t"))
             except SpineError as why:
-                raise ValueError(f"Invalid spine structure on line {line}: {why}") from why
+                raise ValueError(f"line {line}: {why}") from why
         out.append(r)
     return "\n".join(out)
 
@@ -684,7 +684,7 @@ def _chunks(text: str) -> list[list[list[str]]]:
             out.append([])
     out = [c for c in out if c]
     if any(len({len(r) for r in c}) > 1 for c in out):
-        raise ValueError("Inconsistent number of spines in measure part")
+        raise ValueError("the width changes within a measure")
     return out
 
 
@@ -701,7 +701,7 @@ def _beams(chunk: list[list[str]]) -> None:
             if not length and "q" in f:
                 length = 8  # a grace note counts as an eighth
             elif not length:
-                raise ValueError(f"Could not parse duration of token {f}")
+                raise ValueError(f"no duration in {f}")
             else:
                 length = int(length[1])
             need = max(0, int(math.log2(length)) - 2) if length else 0
@@ -714,7 +714,7 @@ def _beams(chunk: list[list[str]]) -> None:
                 extra = opened - need
                 k = next((k for k in range(i - 1, -1, -1) if "L" in chunk[k][j]), None)
                 if k is None or not chunk[k][j].endswith("L" * extra):
-                    raise ValueError(f"Could not find beams to shorten before line {i + 1} in spine {j + 1}")
+                    raise ValueError(f"no beams to shorten before record {i + 1} in spine {j + 1}")
                 chunk[k][j] = chunk[k][j][:-extra] + "K" * extra
                 opened = need
             row[j] = f.replace("J", "").replace("k", "") + "J" * opened + "k" * (need - opened)
@@ -722,11 +722,11 @@ def _beams(chunk: list[list[str]]) -> None:
         if opened:
             k = next((k for k in range(len(chunk) - 1, -1, -1) if is_note(chunk[k][j])), None)
             if k is None:
-                raise ValueError("Not all beams were closed at the end of snippet.")
+                raise ValueError("a beam without a note to end it")
             f = chunk[k][j]
             if "L" in f:
                 if f.count("L") < opened:
-                    raise ValueError("Not enough beams to remove.")
+                    raise ValueError("fewer beams than are open")
                 chunk[k][j] = f.replace("L", "", opened)
             else:
                 chunk[k][j] = f + "J" * opened

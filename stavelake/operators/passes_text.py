@@ -56,7 +56,7 @@ def remove_leading_barlines(text: str, stats: Counter) -> str:
     first = next((i for i, r in enumerate(rows) if _is_data(r)), None)
     if first is None:
         if any(map(is_bar, rows)):
-            raise ValueError("Barline found before first musical data")
+            raise ValueError("barlines but no data")
         return text
     return "\n".join([r for r in rows[:first] if not is_bar(r)] + rows[first:])
 

@@ -114,7 +114,7 @@ class Checker:
             try:
                 self.spines = self._moved(fields)
             except ValueError as why:
-                self.warnings.append(f"line {line}: spine operation error: {why}")
+                self.warnings.append(f"line {line}: {why}")
         if len(fields) == len(self.spines):
             for f, s in zip(fields, self.spines, strict=True):
                 if meter(f) is not None:
@@ -133,9 +133,9 @@ class Checker:
                 if i >= len(left):
                     break
                 if n < 2:
-                    raise ValueError("merge requires at least 2 consecutive *v tokens")
+                    raise ValueError("a lone *v")
                 if i + n > len(left):
-                    raise ValueError(f"not enough spines to merge: have {len(left) - i}, need {n}")
+                    raise ValueError(f"{n} *v over {len(left) - i} spines")
                 out.append(copy(left[i]))
                 out[-1].filled = max(s.filled for s in left[i : i + n])
                 i += n
@@ -143,9 +143,9 @@ class Checker:
             while n and i < len(left):
                 if mark == "*x":
                     if n < 2:
-                        raise ValueError("exchange requires paired *x tokens")
+                        raise ValueError("a lone *x")
                     if i + 1 >= len(left):
-                        raise ValueError("not enough spines to exchange")
+                        raise ValueError("*x on the last spine")
                     out += [left[i + 1], left[i]]
                     i, n = i + 2, n - 2
                     continue
@@ -163,7 +163,7 @@ class Checker:
                 s.filled += length
                 s.begun = True
             elif token:
-                self.warnings.append(f"line {line}: unrecognized token in spine {i + 1}: {token}")
+                self.warnings.append(f"line {line}: no duration in spine {i + 1}: {token}")
 
     def _error(self, line: int, i: int, s: Spine, **more) -> RhythmError:
         return RhythmError(line, i, s.measure, str(s.expected), str(s.filled), s.meter, **more)

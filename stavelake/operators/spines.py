@@ -64,15 +64,15 @@ def advance(state: Sequence[Any], fields: Sequence[str], merge: Callable[[list],
     if not is_interpretation(fields):
         return list(state)
     if len(fields) != len(state):
-        raise SpineError(f"Interpretation record width mismatch: expected {len(state)} fields, got {len(fields)}")
+        raise SpineError(f"interpretation over {len(fields)} spines where {len(state)} are open")
     odd = sorted({"*x", "*+"}.intersection(fields))
     if odd:
-        raise UnsupportedSpineOperation(f"Unsupported spine manipulators: {', '.join(odd)}")
+        raise UnsupportedSpineOperation(f"no support for {', '.join(odd)}")
     out: list = []
     for mark, places in merge_runs(fields):
         if mark == "*v":
             if len(places) < 2:
-                raise SpineError(f"Invalid merge operation: '*v' at field {places[0] + 1} is not adjacent to another '*v'.")
+                raise SpineError(f"a lone '*v' in spine {places[0] + 1} has nothing to merge with")
             out.append(merge([state[i] for i in places]))
         elif mark != "*-":
             out += [state[places[0]]] * (2 if mark == "*^" else 1)
@@ -97,7 +97,7 @@ def lineage(text: str) -> tuple[Lineage, Lineage]:
         if now is None:
             now = first = last = [(k,) for k in range(len(fields))]
         if len(fields) != len(now):
-            raise SpineError(f"line {i + 1}: expected {len(now)} spine field(s), got {len(fields)}")
+            raise SpineError(f"line {i + 1}: {len(fields)} fields where {len(now)} spines are open")
         try:
             now = advance(now, fields, merge=lambda found: tuple(dict.fromkeys(r for roots in found for r in roots)))
         except SpineError as why:
@@ -105,7 +105,7 @@ def lineage(text: str) -> tuple[Lineage, Lineage]:
         if not (is_interpretation(fields) and is_terminator(record)):
             last = now
     if now is None:
-        raise SpineError("source does not contain any significant records")
+        raise SpineError("nothing but blanks and comments")
     return first, last
 
 

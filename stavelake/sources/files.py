@@ -78,7 +78,7 @@ def source_index(docs: DataFrame, key: str = "rel_id", text: str = "text") -> tu
             "has_header": F.coalesce(F.get(body, F.lit(0)).startswith("**"), F.lit(False)),
         }
     )
-    code = F.when(w["error"].contains("expected"), "width_mismatch").when(w["error"].startswith("line"), "invalid_interpretation_record").otherwise("empty_source")
+    code = F.when(w["error"].contains("spines are open"), "width_mismatch").when(w["error"].startswith("line"), "invalid_interpretation_record").otherwise("empty_source")
     valid = rows.filter(w["error"].isNull()).select(key, text, "measure_count", "non_empty_line_count", "has_header", "w_.initial_spine_count", "w_.terminal_spine_count", "w_.restored_terminal_spine_count")
     return valid, rows.filter(w["error"].isNotNull()).select(key, code.alias("reason_code"), w["error"].alias("message"))
 
