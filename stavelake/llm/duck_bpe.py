@@ -29,8 +29,10 @@ from pyspark.sql import DataFrame
 from stavelake.llm.common import resident
 
 LONG = 512
+#: Characters of texts that are encoded together.
+GROUP = 3 << 19
 #: Words in a recursive query, and words that a worker remembers (the older half goes when it is full).
-BATCH, CACHE = 20_000, 1_400_000
+BATCH, CACHE = 40_000, 1_400_000
 
 ENCODE = """
 with recursive state as (
@@ -66,8 +68,8 @@ select n, pos, tok, id from (
 
 
 class DuckBpe:
-    def __init__(self, path: str, pattern: str, cache: int = CACHE):
-        self.cache = cache
+    def __init__(self, path: str, pattern: str, cache: int = CACHE, batch: int = BATCH):
+        self.cache, self.batch = cache, batch
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         pairs = {}
@@ -139,7 +141,7 @@ class DuckBpe:
         begin = total = 0
         for k, i in enumerate([*short, None]):
             total += len(pieces[i]) ** 2 if i is not None else 0
-            if k > begin and (i is None or k - begin == BATCH or total > 2_000_000):
+            if k > begin and (i is None or k - begin == self.batch or total > 2_000_000):
                 for j, ids in zip(short[begin:k], self._short([pieces[j] for j in short[begin:k]]), strict=True):
                     out[j] = ids
                 begin, total = k, len(pieces[i]) ** 2 if i is not None else 0
@@ -162,8 +164,8 @@ class DuckBpe:
         words = set().union(*texts) if texts else set()
         found = {w: x for w in words if (x := self.new.get(w) or self.old.get(w))}
         missing = [w for w in words if w not in found]
-        for k in range(0, len(missing), BATCH):
-            part = missing[k : k + BATCH]
+        for k in range(0, len(missing), self.batch):
+            part = missing[k : k + self.batch]
             ids = self.encode_words([w.encode() for w in part])
             found.update({w: (" ".join(map(str, x)), piece) for w, x, piece in zip(part, ids, self.decode_words(ids), strict=True)})
         if len(self.new) > self.cache // 2:
@@ -175,16 +177,16 @@ class DuckBpe:
         return self.pattern.findall(text)
 
 
-def bpe(path: str, pattern: str, cache: int = CACHE) -> DuckBpe:
-    return resident(("bpe", path, pattern, cache), lambda: DuckBpe(path, pattern, cache))
+def bpe(path: str, pattern: str, cache: int = CACHE, batch: int = BATCH) -> DuckBpe:
+    return resident(("bpe", path, pattern, cache, batch), lambda: DuckBpe(path, pattern, cache, batch))
 
 
-def encode_documents(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = True, cache: int = CACHE) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = True, cache: int = CACHE, batch: int = BATCH) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded, decoded_sha256); ``ids`` (decimal, by spaces) and ``decoded`` are null
     without ``with_ids``.  No shuffle; a worker's memory is bounded by its cache and one group of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(ranks, pattern, cache)
+        coder = bpe(ranks, pattern, cache, batch)
         names = ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
 
@@ -200,13 +202,13 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, with_ids: bool =
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
         keys, texts, size = [], [], 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for rows_in in batches:
+            for key, text in zip(rows_in.column(0).to_pylist(), rows_in.column(1), strict=True):
                 text = text.as_py() or ""
                 keys.append(key)
                 texts.append(text)
                 size += len(text)
-                if size > 1 << 20:
+                if size > GROUP:
                     yield flush(keys, texts)
                     keys, texts, size = [], [], 0
         if keys:
