@@ -141,7 +141,7 @@ class DuckBpe:
         begin = total = 0
         for k, i in enumerate([*short, None]):
             total += len(pieces[i]) ** 2 if i is not None else 0
-            if k > begin and (i is None or k - begin == self.batch or total > 2_000_000):
+            if k > begin and (i is None or k - begin == self.batch or total > 3_000_000):
                 for j, ids in zip(short[begin:k], self._short([pieces[j] for j in short[begin:k]]), strict=True):
                     out[j] = ids
                 begin, total = k, len(pieces[i]) ** 2 if i is not None else 0
