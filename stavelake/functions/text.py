@@ -120,12 +120,24 @@ def _slow_distance(a: Column | str, b: Column | str) -> Column:
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         def distance(x: list, y: list) -> int:
-            row = list(range(len(y) + 1))
-            for i, p in enumerate(x, 1):
-                last, row[0] = row[0], i
-                for j, q in enumerate(y, 1):
-                    last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != q))
-            return row[-1]
+            """Bit-parallel (Myers, Hyyrö): a column of differences is two numbers."""
+            if not x:
+                return len(y)
+            places: dict[str, list[int]] = {}
+            for i, p in enumerate(x):
+                places.setdefault(p, []).append(i)
+            full, top, score = (1 << len(x)) - 1, 1 << (len(x) - 1), len(x)
+            up, down = full, 0
+            for q in y:
+                same = 0
+                for i in places.get(q, ()):
+                    same |= 1 << i
+                level = (((same & up) + up) ^ up) | same | down
+                right, left = (down | ~(level | up)) & full, level & up
+                score += bool(right & top) - bool(left & top)
+                right = right << 1 | 1
+                up, down = (left << 1 | ~(level | right)) & full, right & level & full
+            return score
 
         return pd.Series([None if x is None or y is None else distance(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
@@ -139,7 +151,9 @@ def sequence_distance(a: Column, b: Column) -> Column:
         alphabet = F.array_distinct(F.concat(s["a"], s["b"]))
         return let(alphabet, lambda z: F.levenshtein(_symbols(s["a"], z), _symbols(s["b"], z)))
 
-    return let(F.struct(a.alias("a"), b.alias("b")), by_symbol)
+    many = F.size(F.array_distinct(F.concat(a, b))) > MOST_SYMBOLS
+    few = let(F.struct(F.when(~many, a).alias("a"), F.when(~many, b).alias("b")), by_symbol)
+    return F.coalesce(few, exact_sequence_distance(F.when(many, a), F.when(many, b)))
 
 
 def exact_sequence_distance(a: Column, b: Column) -> Column:
