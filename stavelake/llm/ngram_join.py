@@ -7,8 +7,9 @@ parts hold every candidate pair.  Each part is cut into blocks of bounded weight
 by one task on the full n-gram sets with sparse products, so that a group of any size spreads over tasks, and no pair
 is a row: a task returns, for each class, its number of links, and a spanning forest of the links it found.
 
-Defined results: null and empty texts form one class without links; rows that repeat a doc_id are one document; a null
-doc_id takes part by its text, with class_id null where all of the class are null; other columns are ignored.
+Defined results: null and empty texts form one class without links; rows that repeat a doc_id and a text are one document,
+unlike texts of one doc_id are documents each; a null doc_id takes part by its text, with class_id null where all of the
+class are null, and group_id where all of the group are; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def normalised(text: str | None) -> bytes:
 
 
 def signature_rows(docs: DataFrame, shingler: Shingler) -> DataFrame:
-    """(doc_id, key, chars, bands): key of the normalised text, bands null for texts without words."""
+    """(doc_id, raw, key, chars, bands): hash of the text, key of the normalised text, bands null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -130,15 +131,16 @@ def signature_rows(docs: DataFrame, shingler: Shingler) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys[begin:end], pa.int64()),
+                        batch.column(2).slice(begin, end - begin),
                         pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()),
                         pa.array([len(t) for t in texts], pa.int64()),
                         pa.array([b if t else None for b, t in zip(bands, texts, strict=True)], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "key", "chars", "bands"],
+                    ["doc_id", "raw", "key", "chars", "bands"],
                 )
                 begin = end
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, chars long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("raw")).mapInArrow(run, "doc_id long, raw long, key binary, chars long, bands array<long>")
 
 
 def similar_pairs(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -220,50 +222,71 @@ def verify(blocks: DataFrame, shingler: Shingler, threshold: float) -> DataFrame
 def jaccard_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links, group_id) of every row: its class of equal normalised texts, the number of other
     classes linked to it, and the least doc_id of its connected group."""
+    return _groups(docs, n, threshold, recall).select("doc_id", "class_id", "n_links", "group_id")
+
+
+def _groups(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """``jaccard_groups`` with raw, the text's hash, cid, the class's own id, and head, the cid of the group's first class."""
     shingler = Shingler(n, threshold, recall)
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("doc_id", "raw"), F.lit(SALTS)).cast("int")
     rows = stored(signature_rows(docs, shingler).withColumn("salt", salt), "signatures")
-    parts = rows.groupBy("key", "salt").agg(F.min("doc_id").alias("m"), F.first("chars").alias("chars"), F.first("bands").alias("bands"))
+    # the row that stands for its class: of the least doc_id, and among its texts of the least hash
+    own = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "raw")))
+    parts = rows.groupBy("key", "salt").agg(own.alias("m"), F.min("raw").alias("raw"), F.first("chars").alias("chars"), F.first("bands").alias("bands"))
     classes = stored(
         parts.groupBy("key").agg(
-            F.min("m").alias("class_id"), F.first("chars").alias("chars"), F.first("bands").alias("bands"), F.collect_list("salt").alias("salts")
-        ).withColumn("cid", F.coalesce("class_id", -F.abs(F.xxhash64("key")))),
+            F.min("m").alias("m"), F.min("raw").alias("raw"), F.first("chars").alias("chars"), F.first("bands").alias("bands"), F.collect_list("salt").alias("salts")
+        ).select("key", F.col("m.doc_id").alias("class_id"), F.coalesce("m.raw", "raw").alias("raw"), "chars", "bands", "salts", F.xxhash64("key").alias("cid")),
         "classes",
     )
     banded = classes.filter("bands is not null").select("cid", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("cid").alias("head"), F.max("cid").alias("tail")).filter("head < tail").select("band", "head")
     stars = banded.join(heads, "band").filter("cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b"))
     parts_of = stored(connected_components(stars), "candidate-parts")
-    weights = classes.groupBy("cid").agg(F.max("chars").alias("chars")).join(parts_of, F.col("cid") == F.col("node")).groupBy("root").agg(
-        F.greatest(F.ceil(F.count("node") / BLOCK_CLASSES), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
+    named = classes.select("cid", "chars", "class_id", "raw").join(parts_of, F.col("cid") == F.col("node")).drop("node")
+    weights = named.groupBy("root").agg(
+        F.greatest(F.ceil(F.count("cid") / BLOCK_CLASSES), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
     )
-    placed = parts_of.join(weights, "root").select(
-        "root", F.col("node").alias("cid"), "blocks", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int").alias("block")
+    placed = named.join(weights, "root").select(
+        "root", "cid", "class_id", "raw", "blocks", F.pmod(F.xxhash64("cid", F.lit(1)), "blocks").cast("int").alias("block")
     )
-    texts = docs.select(F.coalesce("doc_id", F.lit(None).cast("long")).alias("cid"), "text").join(placed, "cid")
-    blocks = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    texts = docs.select(F.col("doc_id").alias("class_id"), F.xxhash64("text").alias("raw"), "text")
+    # copies of one row are one text; those without a doc_id are put together before any shuffle
+    known = texts.filter("class_id is not null").join(placed, ["class_id", "raw"]).dropDuplicates(["class_id", "raw"])
+    nameless = texts.filter("class_id is null").groupBy("raw").agg(F.first("text").alias("text")).join(placed.filter("class_id is null").drop("class_id"), "raw")
+    columns = ["root", "cid", "blocks", "block", "text"]
+    blocks = known.select(*columns).unionByName(nameless.select(*columns)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "block", "text"
     )
     found = stored(verify(blocks, shingler, threshold), "links")
     discard(parts_of)
     links = found.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n_links"))
-    groups = connected_components(found.filter("b is not null").select("a", "b")).select(F.col("node").alias("cid"), F.col("root").alias("group_id"))
+    members = connected_components(found.filter("b is not null").select("a", "b")).select(F.col("node").alias("cid"), "root")
+    first = F.min(F.when(F.col("class_id").isNotNull(), F.struct("class_id", "cid"))).alias("first")
+    least = members.join(classes.select("cid", "class_id"), "cid").groupBy("root").agg(first)
+    groups = members.join(least, "root").select("cid", F.col("first.class_id").alias("group_id"), F.col("first.cid").alias("head"))
     known = classes.select("key", "class_id", "cid", F.explode("salts").alias("salt")).join(links, "cid", "left").join(groups, "cid", "left")
-    return rows.select("doc_id", "key", "salt").join(known, ["key", "salt"]).select(
-        "doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id")
+    return rows.select("doc_id", "raw", "key", "salt").join(known, ["key", "salt"]).select(
+        "doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), "raw", "cid", F.coalesce("head", "cid").alias("head")
     )
 
 
 def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``docs`` with one document of each connected group of near copies: that with the least doc_id.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id stay.  Only rows that may go are shuffled.
+    Of rows that repeat a doc_id and a text one stays; rows without a doc_id stay.  Only rows that may go are shuffled.
     """
     docs, unpacked = packed(docs, "doc_id", "text")
-    groups = stored(jaccard_groups(docs, n, threshold, recall).filter("doc_id is not null"), "groups")
-    gone = groups.filter("doc_id <> group_id").select(F.col("doc_id").alias("gone__")).distinct()
-    again = groups.groupBy(F.col("doc_id").alias("gone__")).count().filter("count > 1").select("gone__")
-    marked = may_hold(docs.withColumn("gone__", F.col("doc_id")), gone.unionByName(again), "gone__")
+    groups = stored(_groups(docs, n, threshold, recall).filter("doc_id is not null"), "groups")
+    goes = (F.col("doc_id") != F.col("group_id")) | (F.col("cid") != F.col("head"))
+    ids = [F.col("doc_id").alias("gone__"), F.col("raw").alias("raw__")]
+    gone = groups.filter(goes).select(*ids, F.lit(None).cast("long").alias("cid__")).distinct()
+    twice = groups.filter(~goes).groupBy("doc_id", "cid").agg(F.count(F.lit(1)).alias("n"), F.collect_set("raw").alias("raws")).filter("n > 1")
+    again = twice.select(F.col("doc_id").alias("gone__"), F.explode("raws").alias("raw__"), F.col("cid").alias("cid__"))
+    marked = may_hold(docs.withColumns({"gone__": F.col("doc_id"), "raw__": F.xxhash64("text")}), gone.unionByName(again), "gone__", "raw__")
     held = F.col("held__") & F.col("gone__").isNotNull()
-    kept = marked.filter(held).join(gone, "gone__", "left_anti").dropDuplicates(["gone__"])
-    return unpacked(kept.select(*docs.columns).unionByName(marked.filter(~held).select(*docs.columns)))
+    met = marked.filter(held).join(gone.drop("cid__"), ["gone__", "raw__"], "left_anti")
+    # rows that only seem held have no cid: all of them stay
+    met = met.join(again, ["gone__", "raw__"], "left")
+    kept = met.filter("cid__ is not null").dropDuplicates(["gone__", "cid__"]).select(*docs.columns).unionByName(met.filter("cid__ is null").select(*docs.columns))
+    return unpacked(kept.unionByName(marked.filter(~held).select(*docs.columns)))

@@ -82,3 +82,23 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted(((r.doc_id or -1, r.class_id, r.n_links, r.group_id) for r in ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(-1, 4, 1, 4), (-1, None, 0, None), (4, 4, 1, 4), (4, 4, 1, 4), (9, 9, 1, 4)], key=str)
     assert ngram_join.jaccard_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_classes_without_a_doc_id_have_links(spark):
+    text = " ".join(f"v{i}" for i in range(60))
+    bridge, far = text + " " + " ".join(f"e{i}" for i in range(9)), text + " " + " ".join(f"e{i}" for i in range(18))
+    rows = [(None, bridge), (None, bridge), (4, text), (9, far), (None, "q " * 30 + text[:40]), (None, "q " * 30 + text[:40] + " z")]
+    got = [tuple(r) for r in ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(None, None, 2, 4)] * 2 + [(4, 4, 1, 4), (9, 9, 1, 4)] + [(None, None, 1, None)] * 2
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_unlike_texts_of_one_doc_id(spark):
+    a, b = (" ".join(f"{t}{i}" for i in range(60)) for t in "ab")
+    rows = [(5, a), (5, b), (5, b.upper()), (7, a + " x"), (8, b + " x"), (5, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_join.jaccard_groups(docs).select("doc_id", "class_id", "n_links", "group_id").collect()) == sorted(
+        [(5, 5, 1, 5)] * 3 + [(7, 7, 1, 5), (8, 8, 1, 5), (5, 5, 0, 5)]
+    )
+    kept = [tuple(r) for r in ngram_join.one_of_each_group(docs).collect()]
+    assert sorted((i, t.lower()) for i, t in kept) == sorted([(5, a), (5, b), (5, "alone here")])
