@@ -7,12 +7,15 @@ Benchmark items come in blocks of ``ITEMS``, so that what goes to every task is
    are sums over passages, added up by slices of terms.  As weights are a diagonal scaling by inverse passage frequency,
    the scaling can come after, and one pass gives the randomised singular vectors (Nyström's form) of the TF-IDF matrix.
 2. The latent space is spanned by the leading singular vectors and the items' own vectors, so projection never lowers an
-   item's product with a passage.  A second pass takes windows of two passages and holds those that cover ``COVER`` of an
-   item's weight (of a longer item's, as much less as it is longer) and have a cosine of ``COSINE`` with it in latent space.
+   item's product with a passage.  A second pass counts the terms of each item around each passage.  Of the item's words
+   all but ``1 - PARAPHRASE`` must be there, so all but as many of its terms: a bound that loses nothing that step 3 finds.
+   The cosine of a window of two passages with the item in latent space is reported and discards nothing.
 3. Each candidate is checked on words: the longest common subsequence of item and neighbourhood.  ``COPY`` of the item or
    more is a copy; ``PARAPHRASE`` or more is a paraphrase if the item's answer is there too (what follows "answer:",
    else its last sentence).
 
+Words of items and documents are runs of letters, digits and underscores; in scripts without spaces each letter is a word.
+
 No shuffle of texts, no pairs.  Defined results: null and empty texts hold nothing; null, empty and wordless items are
 never found; items that repeat are reported each; rows that repeat are reported each; other columns are ignored.
 """
@@ -33,11 +36,24 @@ from pyspark.sql import functions as F
 from stavelake.llm.common import release
 
 ITEMS, STRIDE, RANK, OVERSAMPLE = 256, 32, 64, 32
-COVER, COSINE, COPY, PARAPHRASE, ANSWER = 0.3, 0.3, 0.7, 0.6, 0.8
+COPY, PARAPHRASE, ANSWER = 0.7, 0.6, 0.8
+#: Share of an item's words that are terms, at least.
+TERMS = 0.6
 SLICE = 256
 GAP = 4  # passages between documents
 WORD = re.compile(r"\w+")
-STOPS = ("", ",", ".", ";", ":", "!", "?", '"', ")", "'")
+#: Letters of scripts without spaces: Thai to Myanmar, Khmer, kana and Han.
+UNSPACED = "\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+WIDE = re.compile(rf"[^\W{UNSPACED}]+|(?=\w)[{UNSPACED}]")
+
+
+def words_of(text: str | None) -> list[str]:
+    text = (text or "").lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return WIDE.findall(text)
+    return WORD.findall(text)
 
 
 @dataclass
@@ -45,7 +61,7 @@ class Items:
     ids: list
     words: list[list[str]]
     answers: list[list[str]]
-    terms: dict[str, int]  # also with a stop after the word
+    terms: dict[str, int]
     size: int
     counts: np.ndarray  # terms x items
 
@@ -53,13 +69,13 @@ class Items:
 def prepare(rows: list[tuple]) -> Items:
     ids, words, answers = [], [], []
     for key, text in rows:
-        found = WORD.findall((text or "").lower())
+        found = words_of(text)
         if found:
             marked = re.split(r"\banswer\s*:", text.lower())
             last = marked[-1] if len(marked) > 1 else next((s for s in reversed(re.split(r"[.!?]\s+|[.!?]$", text.lower().strip())) if WORD.search(s)), "")
             ids.append(key)
             words.append(found)
-            answers.append(WORD.findall(last))
+            answers.append(words_of(last))
     spread = Counter(w for x in words for w in set(x))
     most = max(2, len(words) // 20)
     chosen: dict[str, int] = {}
@@ -67,12 +83,20 @@ def prepare(rows: list[tuple]) -> Items:
         rare = [w for w in x if spread[w] <= most]
         for w in rare if len(set(rare)) >= 4 else x:
             chosen.setdefault(w, len(chosen))
+        # more of its words, the rarest first, until the bound on what a match lacks says something
+        held = sum(w in chosen for w in x)
+        for w, times in sorted(Counter(x).items(), key=lambda c: (spread[c[0]], c[0])):
+            if held >= TERMS * len(x):
+                break
+            if w not in chosen:
+                chosen[w] = len(chosen)
+                held += times
     counts = np.zeros((len(chosen), len(words)), np.float32)
     for k, x in enumerate(words):
         for w in x:
             if w in chosen:
                 counts[chosen[w], k] += 1
-    return Items(ids, words, answers, {w + s: i for w, i in chosen.items() for s in STOPS}, len(chosen), counts)
+    return Items(ids, words, answers, chosen, len(chosen), counts)
 
 
 class Hits:
@@ -95,7 +119,7 @@ class Hits:
         return len(self.found) > 1 << 13 or self.base > 1 << 18
 
     def add(self, text: str | None) -> list[str]:
-        terms, words = self.terms, (text or "").lower().split()
+        terms, words = self.terms, words_of(text)
         self.starts.append(self.base)
         at = [i for i, w in enumerate(words) if w in terms]
         base = self.base
@@ -180,13 +204,15 @@ class Model:
     items: Items
     weights: np.ndarray  # terms: inverse passage frequency
     vectors: np.ndarray  # terms x items, weighted
-    cover: np.ndarray  # terms x items: what a term adds to the share of an item's weight
+    member: np.ndarray  # terms x items: 1 for an item's terms
     basis: np.ndarray  # terms x latent dimensions
     latent: np.ndarray  # latent dimensions x items, unit columns
 
     @property
-    def least_cover(self) -> np.ndarray:
-        return COVER * np.minimum(1.0, 2 * STRIDE / np.array([len(w) for w in self.items.words]))
+    def least(self) -> np.ndarray:
+        """Words in terms that are there wherever ``PARAPHRASE`` of an item's words are."""
+        sizes = np.array([len(w) for w in self.items.words])
+        return self.items.counts.sum(0) - (sizes - np.ceil(PARAPHRASE * sizes - 1e-9))
 
 
 def learn(docs: DataFrame, items: Items) -> Model:
@@ -209,8 +235,7 @@ def learn(docs: DataFrame, items: Items) -> Model:
     basis = u[:, s > 1e-6]
     latent = basis.T @ vectors
     latent /= np.maximum(np.linalg.norm(latent, axis=0), 1e-12)
-    cover = weights[:, None] * vectors / np.maximum((vectors**2).sum(0), 1e-12)
-    return Model(items, weights, vectors, np.minimum(cover, 1).astype(np.float32), basis.astype(np.float32), latent.astype(np.float32))
+    return Model(items, weights, vectors, (items.counts > 0).astype(np.float32), basis.astype(np.float32), latent.astype(np.float32))
 
 
 def common(a: list[str], b: list[str]) -> int:
@@ -230,10 +255,14 @@ def common(a: list[str], b: list[str]) -> int:
 class Searcher:
     def __init__(self, model: Model):
         self.model = model
-        self.least = model.least_cover.astype(np.float32)
+        self.least = np.maximum(model.least, 1).astype(np.float32)
+        # passages before and after one that the neighbourhood in ``check`` touches
+        sizes = np.array([len(w) for w in model.items.words])
+        reach = np.stack([-(-sizes // STRIDE), (2 * STRIDE - 1 + sizes) // STRIDE], 1)
+        self.reaches = [(*r, np.flatnonzero((reach == r).all(1))) for r in np.unique(reach, axis=0)]
 
     def candidates(self, hits: Hits) -> list[tuple[int, int, int, float]]:
-        """(text, first word, item, cosine) of windows that pass in latent space."""
+        """(text, first word, item, cosine) of neighbourhoods that may hold the item."""
         m = self.model
         if not hits.found:
             return []
@@ -241,11 +270,17 @@ class Searcher:
         passage = places // STRIDE
         first = np.flatnonzero(np.r_[True, np.diff(passage) != 0])
         at = passage[first]
-        cover = np.add.reduceat(m.cover[terms], first)
+        there = np.add.reduceat(m.member[terms], first)
+        running = np.concatenate([np.zeros((1, there.shape[1])), np.cumsum(there, 0, dtype=np.float64)])
+        w, item = [], []
+        for before, after, own in self.reaches:
+            lo, hi = np.searchsorted(at, at - before), np.searchsorted(at, at + after, side="right")
+            x, y = np.nonzero(running[np.ix_(hi, own)] - running[np.ix_(lo, own)] >= self.least[own])
+            w.append(x)
+            item.append(own[y])
+        w, item = np.concatenate(w), np.concatenate(item)
         # windows: passage p with p + 1, and each p alone where the next has no terms
         follows = np.r_[at[1:] == at[:-1] + 1, False]
-        cover[follows] += cover[np.flatnonzero(follows) + 1]
-        w, item = np.nonzero(cover >= self.least)
         if not len(w):
             return []
         chosen, spot = np.unique(w, return_inverse=True)
@@ -256,16 +291,15 @@ class Searcher:
             latent[k] = (m.weights[t, None] * m.basis[t]).sum(0)
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         cosine = (latent @ m.latent)[spot, item]
-        keep = cosine >= COSINE
         starts = np.array(hits.starts)
-        word = at[w[keep]] * STRIDE
+        word = at[w] * STRIDE
         text = np.searchsorted(starts, word, side="right") - 1
-        return list(zip(text.tolist(), (word - starts[text]).tolist(), item[keep].tolist(), cosine[keep].tolist(), strict=True))
+        return list(zip(text.tolist(), (word - starts[text]).tolist(), item.tolist(), cosine.tolist(), strict=True))
 
     def check(self, words: list[str], at: int, item: int) -> tuple[float, bool, str | None]:
         """Share of the item in the longest common subsequence, whether its answer is there, and the verdict."""
         own, answer = self.model.items.words[item], self.model.items.answers[item]
-        near = WORD.findall(" ".join(words[max(0, at - len(own)) : at + 2 * STRIDE + len(own)]))
+        near = words[max(0, at - len(own)) : at + 2 * STRIDE + len(own)]
         share = common(own, near) / len(own)
         there = bool(answer) and common(answer, near) >= ANSWER * len(answer)
         return share, there, "copy" if share >= COPY else "paraphrase" if share >= PARAPHRASE and there else None
