@@ -6,9 +6,10 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,13 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a local one is made.
+    Where the session names none a temporary one is made, in local mode only: elsewhere executors would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir names no shared folder, and {master} needs one")
         root = tempfile.mkdtemp(prefix="stavelake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -41,6 +45,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame, name: str, *work: DataFrame | str) -> DataFrame:
+    """``df`` written and read again, and the work tables or folders that it was made from deleted."""
+    out = stored(df, name)
+    for w in work:
+        delete(df.sparkSession, w if isinstance(w, str) else w.stored_at)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by ``stored`` that nothing reads any more."""
     for df in tables:
@@ -96,6 +108,20 @@ def may_hold(rows: DataFrame, ids: DataFrame, *columns: str, bits: int = 1 << 24
     return met.withColumn("held__", held).drop("part__", "bit__", "map__")
 
 
+def groups_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Stretches of rows with equal first ``width`` columns: their key, and the rest of each row."""
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:width] != at:
+                if rows:
+                    yield at, rows
+                at, rows = row[:width], []
+            rows.append(row[width:])
+    if rows:
+        yield at, rows
+
+
 def packed(docs: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with all but the ``keep`` columns in one struct, so that no name of theirs can clash, and what undoes it."""
     kept, rest = [c for c in docs.columns if c in keep], [c for c in docs.columns if c not in keep]

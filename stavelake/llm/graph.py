@@ -38,4 +38,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = now
     roots = star.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
+    discard(star)
+    return out

@@ -1,11 +1,19 @@
 """N-gram Jaccard join by MinHash banding, verified on full n-gram sets.
 
 Texts are lower-cased and cut at white space; a text of fewer than ``n`` words has itself as its only n-gram.  Equal
-normalised texts form a class.  Rows and bands are chosen for the wanted recall at the threshold.  Band hashes are
-shuffled, one row for each class and band; classes that share a band are joined in a graph as stars, and its connected
-parts hold every candidate pair.  Each part is cut into blocks of bounded weight, and each pair of blocks is verified
-by one task on the full n-gram sets with sparse products, so that a group of any size spreads over tasks, and no pair
-is a row: a task returns, for each class, its number of links, and a spanning forest of the links it found.
+normalised texts form a class.  A signature has one byte for each MinHash; a band is a stretch of them, and rows and bands
+are chosen for the wanted recall at the threshold.
+
+1. Classes meet in buckets, one for each band and its bytes; what is shuffled is (bucket, class) numbers.  A bucket with
+   the same members as one of an earlier band has nothing to add and goes.
+2. In each bucket signatures are compared, block by block.  A pair is judged in the first band that it shares and nowhere
+   else, and goes on if its signatures agree in as many places as all but ``DOUBT`` of pairs at the threshold do.  A class
+   goes on with a bucket in which it has such a partner.
+3. Only texts of those classes are shuffled, to blocks of their buckets, and every pair that goes on is verified on the
+   full n-gram sets by sparse products.
+
+No pair is a row: a task returns, for each class, its number of links, and a spanning forest of the links it found.  Buckets
+of any size spread over tasks, a task for each pair of blocks.
 
 Defined results: null and empty texts form one class without links; rows that repeat a doc_id and a text are one document,
 unlike texts of one doc_id are documents each; a null doc_id takes part by its text, with class_id null where all of the
@@ -16,20 +24,24 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import discard, may_hold, packed, release, stored
+from stavelake.llm.common import discard, groups_of, may_hold, packed, release, stored
 from stavelake.llm.graph import connected_components
 
-N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 96
+N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 192
+#: Share of pairs at the threshold whose signatures may agree in too few places.
+DOUBT = 1e-6
 SALTS = 64
-#: Classes and characters in a block.
+#: Classes in a block of signatures; classes and characters in a block of texts.
+SCREEN_CLASSES = 1024
 BLOCK_CLASSES, BLOCK_CHARS = 256, 4 << 20
+KEY_BITS = 48
 
 _rng = np.random.default_rng(5)
 LETTER = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,12 +64,24 @@ def bands_for(threshold: float, recall: float, most_hashes: int) -> tuple[int, i
     return best
 
 
+def least_agreement(threshold: float, hashes: int, doubt: float = DOUBT) -> int:
+    """The most places in which a pair at ``threshold`` agrees with a chance of at least 1 - ``doubt``."""
+    below, c = 0.0, 0
+    while c < hashes:
+        below += math.comb(hashes, c) * threshold**c * (1 - threshold) ** (hashes - c)
+        if below > doubt:
+            break
+        c += 1
+    return c
+
+
 class Shingler:
-    """Hashes of n-grams of many texts at once, and MinHash bands."""
+    """Hashes of n-grams of many texts at once, and MinHash signatures."""
 
     def __init__(self, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES):
         self.n = n
         self.bands, self.rows = bands_for(threshold, recall, most_hashes)
+        self.least = least_agreement(threshold, self.bands * self.rows)
         rng = np.random.default_rng(6)
         k = self.bands * self.rows
         self.flip = rng.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32)
@@ -96,25 +120,30 @@ class Shingler:
         return h ^ (h >> np.uint64(29)), firsts
 
     def signatures(self, hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        """Band hashes, a row for each text."""
+        """A row of bytes for each text, ``rows`` to a band."""
         short = (hashes >> np.uint64(32)).astype(np.uint32)
-        out = np.empty((len(firsts), self.bands), np.uint64)
-        for band in range(self.bands):
-            acc = np.full(len(firsts), band + 1, np.uint64)
-            for k in range(band * self.rows, (band + 1) * self.rows):
-                least = np.minimum.reduceat((short ^ self.flip[k]) * self.times[k], firsts)
-                acc = (acc ^ least) * MIX
-                acc ^= acc >> np.uint64(29)
-            out[:, band] = acc
+        out = np.empty((len(firsts), self.bands * self.rows), np.uint8)
+        for k in range(out.shape[1]):
+            out[:, k] = np.minimum.reduceat((short ^ self.flip[k]) * self.times[k], firsts) & np.uint32(255)
         return out
 
+    def buckets(self, signatures: np.ndarray) -> np.ndarray:
+        """The bucket of each text in each band: the band, and ``KEY_BITS`` bits of its bytes."""
+        by_band = signatures.reshape(len(signatures), self.bands, self.rows)
+        acc = np.full(by_band.shape[:2], 1, np.uint64)
+        for k in range(self.rows):
+            acc = (acc ^ by_band[:, :, k]) * MIX
+            acc ^= acc >> np.uint64(29)
+        return ((acc >> np.uint64(64 - KEY_BITS)) | np.arange(self.bands, dtype=np.uint64) << np.uint64(KEY_BITS)).view(np.int64)
+
 
 def normalised(text: str | None) -> bytes:
     return " ".join((text or "").lower().split()).encode("utf-8", "surrogatepass")
 
 
 def signature_rows(docs: DataFrame, shingler: Shingler) -> DataFrame:
-    """(doc_id, raw, key, chars, bands): hash of the text, key of the normalised text, bands null for texts without words."""
+    """(doc_id, raw, key, chars, signature): hash of the text, key of the normalised text; texts without words have no
+    signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -127,20 +156,96 @@ def signature_rows(docs: DataFrame, shingler: Shingler) -> DataFrame:
                     texts.append(normalised(column[end].as_py()))
                     size += len(texts[-1]) + 1
                     end += 1
-                bands = shingler.signatures(*shingler.hashes(texts)).view(np.int64)
+                signed = shingler.signatures(*shingler.hashes(texts))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys[begin:end], pa.int64()),
                         batch.column(2).slice(begin, end - begin),
                         pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()),
                         pa.array([len(t) for t in texts], pa.int64()),
-                        pa.array([b if t else None for b, t in zip(bands, texts, strict=True)], pa.list_(pa.int64())),
+                        pa.array([s.tobytes() if t else None for s, t in zip(signed, texts, strict=True)], pa.binary()),
                     ],
-                    ["doc_id", "raw", "key", "chars", "bands"],
+                    ["doc_id", "raw", "key", "chars", "signature"],
                 )
                 begin = end
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("raw")).mapInArrow(run, "doc_id long, raw long, key binary, chars long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("raw")).mapInArrow(run, "doc_id long, raw long, key binary, chars long, signature binary")
+
+
+def _matrix(signatures: Sequence[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), -1)
+
+
+def bucket_rows(classes: DataFrame, shingler: Shingler) -> DataFrame:
+    """(bucket, cid) of every class in every band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            if batch.num_rows:
+                found = shingler.buckets(_matrix(batch.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), shingler.bands))], ["bucket", "cid"])
+
+    return classes.filter("signature is not null").select("cid", "signature").mapInArrow(run, "bucket long, cid long")
+
+
+def in_blocks(members: DataFrame, blocks: str, *keep: str) -> DataFrame:
+    """(bucket, i, j, cid, block, ...): the members of each bucket, dealt to ``blocks`` blocks, for every pair of blocks."""
+    placed = members.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(1)), F.col(blocks)).cast("int"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))).select(
+        "bucket", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"), "cid", "block", *keep
+    )
+
+
+def by_block(blocks: DataFrame, finish: Callable[[list, int, bool], list[tuple]], schema: str, names: list[str]) -> DataFrame:
+    """Runs ``finish`` (rows of cid, block and more; bucket; across two blocks) on every pair of blocks with two rows or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        out: list[tuple] = []
+        for (bucket, i, j), rows in groups_of(batches, 3):
+            if len(rows) > 1:
+                out += finish(rows, bucket, i != j)
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+
+    return blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid").mapInArrow(run, schema)
+
+
+def with_partner(signatures: np.ndarray, block: np.ndarray, band: int, across: bool, shingler: Shingler) -> np.ndarray:
+    """Which rows have a partner (of another block, if ``across``) that agrees in enough places and shares no earlier band."""
+    found = np.zeros(len(block), bool)
+    left = np.flatnonzero(block == block.min()) if across else np.arange(len(block))
+    right = np.flatnonzero(block != block.min()) if across else left
+    if not len(right):
+        return found
+    others = signatures[right]
+    step = max(1, (8 << 20) // (others.size or 1))
+    for k in range(0, len(left), step):
+        part = left[k : k + step]
+        equal = signatures[part][:, None, :] == others[None, :, :]
+        good = equal.sum(2, dtype=np.uint16) >= shingler.least
+        if not across:
+            good &= part[:, None] < right[None, :]
+        a, b = np.nonzero(good)
+        first = equal[a, b].reshape(len(a), shingler.bands, shingler.rows).all(2).argmax(1)
+        a, b = a[first == band], b[first == band]
+        found[part[a]] = found[right[b]] = True
+    return found
+
+
+def screen(blocks: DataFrame, shingler: Shingler) -> DataFrame:
+    """(bucket, cid) of the classes that go on with a bucket."""
+
+    def finish(rows: list, bucket: int, across: bool) -> list[tuple]:
+        cid, block, signature = zip(*rows, strict=True)
+        kept = with_partner(_matrix(signature), np.array(block), bucket >> KEY_BITS, across, shingler)
+        return [(bucket, cid[k]) for k in np.flatnonzero(kept)]
+
+    return by_block(blocks.select("bucket", "i", "j", "cid", "block", "signature"), finish, "bucket long, cid long", ["bucket", "cid"]).distinct()
 
 
 def similar_pairs(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -170,17 +275,21 @@ def similar_pairs(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray,
 def verify(blocks: DataFrame, shingler: Shingler, threshold: float) -> DataFrame:
     """(a, b, n): b null: class a has n links in this pair of blocks; else an edge of the block's spanning forest."""
 
-    def finish(rows: list[tuple[int, int, str]], i: int, j: int) -> list[tuple[int, int | None, int | None]]:
-        seen: dict[int, tuple[int, str]] = {}
-        for cid, block, text in rows:
-            seen.setdefault(cid, (block, text))
-        ids, block = list(seen), np.array([x[0] for x in seen.values()])
-        h, firsts = shingler.hashes([normalised(x[1]) for x in seen.values()])
-        sets = [np.unique(x) for x in np.split(h, firsts[1:])]
-        a, b = similar_pairs(sets, threshold)
-        if i != j:
-            across = block[a] != block[b]
-            a, b = a[across], b[across]
+    def finish(rows: list, bucket: int, across: bool) -> list[tuple]:
+        ids, block, signature, texts = zip(*rows, strict=True)
+        band = bucket >> KEY_BITS
+        h, firsts = shingler.hashes([normalised(t) for t in texts])
+        a, b = similar_pairs([np.unique(x) for x in np.split(h, firsts[1:])], threshold)
+        if across:
+            side = np.array(block)
+            a, b = a[side[a] != side[b]], b[side[a] != side[b]]
+        signed = _matrix(signature)
+        here = np.zeros(len(a), bool)
+        for k in range(0, len(a), 1 << 15):  # pairs whose first common band is this one
+            x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
+            shared = (signed[x] == signed[y]).reshape(len(x), shingler.bands, shingler.rows).all(2)
+            here[k : k + (1 << 15)] = shared[:, band] & (shared.argmax(1) == band)
+        a, b = a[here], b[here]
         links = np.bincount(np.r_[a, b], minlength=len(ids))
         parent = list(range(len(ids)))
 
@@ -197,26 +306,7 @@ def verify(blocks: DataFrame, shingler: Shingler, threshold: float) -> DataFrame
                 out.append((ids[x], ids[y], None))
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        at, rows, out = None, [], []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-                if row[:3] != at:
-                    if len(rows) > 1:
-                        out += finish(rows, at[1], at[2])
-                    at, rows = row[:3], []
-                rows.append((row[3], row[4], row[5]))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "n"])
-                    out = []
-        if len(rows) > 1:
-            out += finish(rows, at[1], at[2])
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "n"])
-
-    dealt = blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "cid")
-    return dealt.select("root", "i", "j", "cid", "block", "text").mapInArrow(run, "a long, b long, n long")
+    return by_block(blocks.select("bucket", "i", "j", "cid", "block", "signature", "text"), finish, "a long, b long, n long", ["a", "b", "n"])
 
 
 def jaccard_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -225,6 +315,20 @@ def jaccard_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, re
     return _groups(docs, n, threshold, recall).select("doc_id", "class_id", "n_links", "group_id")
 
 
+def candidates(classes: DataFrame, shingler: Shingler) -> DataFrame:
+    """(bucket, cid) of the classes that have a likely partner in a bucket."""
+    rows = bucket_rows(classes, shingler)
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("cid").alias("all"), F.min("cid").alias("least")).filter("n > 1")
+    # members are told apart by their number, the least one and a sum of hashes
+    kept = stored(sizes.groupBy("n", "all", "least").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
+    members = rows.join(kept, "bucket").withColumn("blocks", F.ceil(F.col("n") / SCREEN_CLASSES).cast("int"))
+    signed = members.join(classes.select("cid", "signature"), "cid")
+    found = screen(in_blocks(signed, "blocks", "signature"), shingler)
+    out = stored(found, "screened")
+    discard(kept)
+    return out
+
+
 def _groups(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
     """``jaccard_groups`` with raw, the text's hash, cid, the class's own id, and head, the cid of the group's first class."""
     shingler = Shingler(n, threshold, recall)
@@ -232,43 +336,40 @@ def _groups(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFra
     rows = stored(signature_rows(docs, shingler).withColumn("salt", salt), "signatures")
     # the row that stands for its class: of the least doc_id, and among its texts of the least hash
     own = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "raw")))
-    parts = rows.groupBy("key", "salt").agg(own.alias("m"), F.min("raw").alias("raw"), F.first("chars").alias("chars"), F.first("bands").alias("bands"))
+    one = [F.first(c).alias(c) for c in ("chars", "signature")]
+    parts = rows.groupBy("key", "salt").agg(own.alias("m"), F.min("raw").alias("raw"), *one)
     classes = stored(
-        parts.groupBy("key").agg(
-            F.min("m").alias("m"), F.min("raw").alias("raw"), F.first("chars").alias("chars"), F.first("bands").alias("bands"), F.collect_list("salt").alias("salts")
-        ).select("key", F.col("m.doc_id").alias("class_id"), F.coalesce("m.raw", "raw").alias("raw"), "chars", "bands", "salts", F.xxhash64("key").alias("cid")),
+        parts.groupBy("key").agg(F.min("m").alias("m"), F.min("raw").alias("raw"), *one, F.collect_list("salt").alias("salts")).select(
+            "key", F.col("m.doc_id").alias("class_id"), F.coalesce("m.raw", "raw").alias("raw"), "chars", "signature", "salts", F.xxhash64("key").alias("cid")
+        ),
         "classes",
     )
-    banded = classes.filter("bands is not null").select("cid", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("cid").alias("head"), F.max("cid").alias("tail")).filter("head < tail").select("band", "head")
-    stars = banded.join(heads, "band").filter("cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b"))
-    parts_of = stored(connected_components(stars), "candidate-parts")
-    named = classes.select("cid", "chars", "class_id", "raw").join(parts_of, F.col("cid") == F.col("node")).drop("node")
-    weights = named.groupBy("root").agg(
+    found = candidates(classes, shingler)
+    named = found.join(classes.select("cid", "chars", "class_id", "raw", "signature"), "cid")
+    weights = named.groupBy("bucket").agg(
         F.greatest(F.ceil(F.count("cid") / BLOCK_CLASSES), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
     )
-    placed = named.join(weights, "root").select(
-        "root", "cid", "class_id", "raw", "blocks", F.pmod(F.xxhash64("cid", F.lit(1)), "blocks").cast("int").alias("block")
-    )
+    placed = stored(named.join(weights, "bucket").select("bucket", "cid", "class_id", "raw", "signature", "blocks"), "placed")
+    # only texts of classes that go on are shuffled; copies of one row are one text
     texts = docs.select(F.col("doc_id").alias("class_id"), F.xxhash64("text").alias("raw"), "text")
-    # copies of one row are one text; those without a doc_id are put together before any shuffle
-    known = texts.filter("class_id is not null").join(placed, ["class_id", "raw"]).dropDuplicates(["class_id", "raw"])
-    nameless = texts.filter("class_id is null").groupBy("raw").agg(F.first("text").alias("text")).join(placed.filter("class_id is null").drop("class_id"), "raw")
-    columns = ["root", "cid", "blocks", "block", "text"]
-    blocks = known.select(*columns).unionByName(nameless.select(*columns)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "block", "text"
-    )
-    found = stored(verify(blocks, shingler, threshold), "links")
-    discard(parts_of)
-    links = found.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n_links"))
-    members = connected_components(found.filter("b is not null").select("a", "b")).select(F.col("node").alias("cid"), "root")
+    known = may_hold(texts.filter("class_id is not null"), placed.filter("class_id is not null"), "class_id", "raw").filter("held__").drop("held__")
+    known = known.dropDuplicates(["class_id", "raw"]).join(placed, ["class_id", "raw"])
+    nameless = may_hold(texts.filter("class_id is null"), placed.filter("class_id is null"), "raw").filter("held__")
+    nameless = nameless.groupBy("raw").agg(F.first("text").alias("text")).join(placed.filter("class_id is null").drop("class_id"), "raw")
+    columns = ["bucket", "cid", "blocks", "signature", "text"]
+    links_of = stored(verify(in_blocks(known.select(*columns).unionByName(nameless.select(*columns)), "blocks", "signature", "text"), shingler, threshold), "links")
+    links = links_of.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n_links"))
+    members = connected_components(links_of.filter("b is not null").select("a", "b"))
     first = F.min(F.when(F.col("class_id").isNotNull(), F.struct("class_id", "cid"))).alias("first")
-    least = members.join(classes.select("cid", "class_id"), "cid").groupBy("root").agg(first)
-    groups = members.join(least, "root").select("cid", F.col("first.class_id").alias("group_id"), F.col("first.cid").alias("head"))
-    known = classes.select("key", "class_id", "cid", F.explode("salts").alias("salt")).join(links, "cid", "left").join(groups, "cid", "left")
-    return rows.select("doc_id", "raw", "key", "salt").join(known, ["key", "salt"]).select(
+    least = members.select(F.col("node").alias("cid"), "root").join(classes.select("cid", "class_id"), "cid").groupBy("root").agg(first)
+    groups = members.select(F.col("node").alias("cid"), "root").join(least, "root").select("cid", F.col("first.class_id").alias("group_id"), F.col("first.cid").alias("head"))
+    of_class = classes.select("key", "class_id", "cid", F.explode("salts").alias("salt")).join(links, "cid", "left").join(groups, "cid", "left")
+    out = rows.select("doc_id", "raw", "key", "salt").join(of_class, ["key", "salt"]).select(
         "doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), "raw", "cid", F.coalesce("head", "cid").alias("head")
     )
+    out = stored(out, "groups")
+    discard(rows, classes, found, placed, links_of, members)
+    return out
 
 
 def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -277,7 +378,7 @@ def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     Of rows that repeat a doc_id and a text one stays; rows without a doc_id stay.  Only rows that may go are shuffled.
     """
     docs, unpacked = packed(docs, "doc_id", "text")
-    groups = stored(_groups(docs, n, threshold, recall).filter("doc_id is not null"), "groups")
+    groups = _groups(docs, n, threshold, recall).filter("doc_id is not null")
     goes = (F.col("doc_id") != F.col("group_id")) | (F.col("cid") != F.col("head"))
     ids = [F.col("doc_id").alias("gone__"), F.col("raw").alias("raw__")]
     gone = groups.filter(goes).select(*ids, F.lit(None).cast("long").alias("cid__")).distinct()
