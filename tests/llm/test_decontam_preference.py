@@ -48,20 +48,38 @@ def test_leaks(spark, monkeypatch):
 
 
 def test_randomised_vectors_are_those_of_the_whole_matrix(spark):
-    """The leading singular values of the TF-IDF matrix, one pass and random, against numpy's on the whole matrix."""
-    base = [words(40, f"t{k}x") for k in range(12)]
-    texts = [" ".join(random.choice(base)[:32]) for _ in range(400)]
-    items = decontam.prepare([(k, " ".join(w)) for k, w in enumerate(base)])
-    rng = np.random.default_rng(1)
-    test = rng.normal(size=(items.size, min(items.size, 96))).astype(np.float32)
+    """Counts and products of one pass over documents of several passages, against numpy on the whole matrix; and the leading
+    vectors against its singular vectors."""
+    base = [words(64, f"t{k}x") for k in range(12)]
+    texts = [" ".join(random.choice(base)[: random.randint(1, 64)]) for _ in range(400)] + [None, "", "..."]
+    vocabulary = np.unique(decontam.Words()([" ".join(base[0])])[0])
     frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
-    n, count, total = decontam.gather(frame, items, test)
-    a = np.zeros((len(texts), items.size))
-    for i, t in enumerate(texts):
-        for w in t.split():
-            if w in items.terms:
-                a[i, items.terms[w]] = 1
-    assert n == 400 and (count == a.sum(0)).all() and np.allclose(total, a.T @ a @ test, rtol=1e-3, atol=1e-2)
+    n, count, terms, total = decontam.gather(frame, vocabulary, 80)
+    rows = []
+    for t in texts:
+        h = decontam.Words()([t])[0]
+        rows += [h[i : i + 32] for i in range(0, len(h), 32)]
+    a = np.zeros((len(rows), decontam.BUCKETS))
+    for i, h in enumerate(rows):
+        a[i, decontam.bucket_of(h)] = 1
+    assert n == len(rows) and (count == a.sum(0)).all()
+    assert terms.tolist() == [sum(v in h for h in rows) for v in vocabulary]
+    assert np.allclose(total, a.T @ (a @ decontam.dense_signs(80)), rtol=1e-3, atol=1e-2)
+    weights = np.log((n + 1) / (count + 1)) + 0.1
+    u = decontam.leading_vectors(weights, total, 8)
+    best = np.linalg.svd(a * weights, full_matrices=False, compute_uv=False)
+    assert np.allclose(u.T @ u, np.eye(8), atol=1e-6) and ((a * weights @ u) ** 2).sum() > 0.97 * (best[:8] ** 2).sum()
+
+
+def test_words_are_those_of_the_pattern(monkeypatch):
+    texts = ["Ab c-d_e 12", None, "", "Ünïcode, Straße!", "日本語 and kana かな x", "œuvre l'été", "ÿ\xa0b", "a" * 50, "İstanbul’s", "x y " * 40]
+    for piece in (1 << 20, 8):
+        monkeypatch.setattr(decontam, "PIECE", piece)
+        h, firsts = decontam.Words()(texts)
+        one = lambda w: decontam.Words()([w])[0][0]
+        assert [h[a:b].tolist() for a, b in zip(firsts[:-1], firsts[1:])] == [[one(w) for w in decontam.words_of(t)] for t in texts]
+    distinct = {w for t in texts for w in decontam.words_of(t)}
+    assert len({one(w) for w in distinct}) == len(distinct)
 
 
 def test_common_subsequence():
