@@ -16,7 +16,8 @@ Documents are scanned twice, however many items there are: once to learn, once t
    other words of the same company, or the same words in another order.
 
 Words of items and documents are runs of letters, digits and underscores in lower case; in scripts without spaces each letter
-is a word.  Words are compared by 64 bits of hash.  Words that no passage has do not count in a cosine.  The model lies in the
+is a word.  Words are compared by 64 bits of hash.  Words that no passage has do not count in a cosine,
+and a word that repeats counts once a cell.  The model lies in the
 shared folder, where every worker reads it; blocks of items beyond ``KEEP`` are read again for each group of texts.
 
 No shuffle of texts, no pairs.  Defined results: null and empty texts hold nothing; null, empty and wordless items are
@@ -391,6 +392,7 @@ def make_block(model: Model, rows: list[tuple[int | None, np.ndarray, np.ndarray
     counts = np.zeros((len(places), len(rows)))
     latent = np.zeros((model.vectors.shape[1], len(rows)))
     for k, (_, own, _) in enumerate(rows):
+        own = own[first_in_cell(own, np.arange(len(own)) // CELL)]
         at = np.searchsorted(places, np.searchsorted(model.vocabulary, own))
         np.add.at(counts[:, k], at, 1)
         there = model.terms[places[at]] > 0
@@ -436,6 +438,13 @@ def _running(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def first_in_cell(h: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Which words are the first of their kind in their cell; a word that repeats counts once a cell."""
+    out = np.zeros(len(h), bool)
+    out[np.unique(h ^ (cell.astype(np.uint64) * MIX), return_index=True)[1]] = True
+    return out
+
+
 class Chunk:
     """Words of some texts in cells; a text of more than ``SEGMENT`` words is in several segments that overlap."""
 
@@ -452,13 +461,16 @@ class Chunk:
         self.start = self.begin[self.segment] + (np.arange(len(self.segment)) - first[self.segment]) * CELL  # of each cell, in words
         self.last = (first + cells)[self.segment]  # end of its segment, in cells
         self.place = look(self.h)
-        bucket = bucket_of(self.h)
+        self.bucket = bucket_of(self.h)
+        self.cell = np.repeat(np.arange(len(self.start)), np.diff(np.r_[self.start, len(self.h)]))  # of each word
+        self.once = first_in_cell(self.h, self.cell)
         own = model.terms[np.maximum(self.place, 0)]
-        self.weight = np.where(self.place >= 0, own, model.buckets[bucket])  # of each word
-        self.bucket = bucket
-        self.latent = _running(np.add.reduceat(model.vectors[bucket], self.start, axis=0))
-        self.energy = _running(np.add.reduceat(self.weight**2, self.start))
-        self.hits = np.flatnonzero(self.place >= 0)
+        self.weight = np.where(self.place >= 0, own, model.buckets[self.bucket]) * self.once
+        at = np.flatnonzero(self.once)
+        heads = np.searchsorted(at, self.start)
+        self.latent = _running(np.add.reduceat(model.vectors[self.bucket[at]], heads, axis=0))
+        self.energy = _running(np.add.reduceat(self.weight[at] ** 2, heads))
+        self.hits = at[self.place[at] >= 0]
 
     def grid(self, block: Block) -> np.ndarray:
         """Running sums over cells of each item's gain."""
@@ -466,7 +478,7 @@ class Chunk:
         places = self.place[self.hits]
         row = np.minimum(np.searchsorted(block.rows, places), len(block.rows) - 1)
         good = block.rows[row] == places
-        row, cell = row[good], np.searchsorted(self.start, self.hits[good], side="right") - 1
+        row, cell = row[good], self.cell[self.hits[good]]
         if len(row):
             heads = np.flatnonzero(np.r_[True, np.diff(cell) != 0])
             out[cell[heads] + 1] = np.add.reduceat(block.gains[row], heads, axis=0)
@@ -510,8 +522,8 @@ class Searcher:
         n = min(len(block.words[item]), hi - lo)
         places = chunk.place[lo:hi]
         row = np.minimum(np.searchsorted(block.rows, places), len(block.rows) - 1)
-        gain = np.where(block.rows[row] == places, block.gains[row, item], 0)
-        latent = _running(self.model.vectors[chunk.bucket[lo:hi]])
+        gain = np.where(chunk.once[lo:hi] & (block.rows[row] == places), block.gains[row, item], 0)
+        latent = _running(self.model.vectors[chunk.bucket[lo:hi]] * chunk.once[lo:hi, None])
         latent = latent[n:] - latent[:-n]
         sums = lambda x: (r := _running(x.astype(np.float64)))[n:] - r[:-n]
         product = sums(gain) + LATENT * (latent @ block.latent[:, item])

@@ -36,18 +36,18 @@ def test_copies_in_marks(spark):
     assert found(spark, [" ".join(item), " ".join(rest(30))], docs) == {(i, 0): "copy" for i in range(6)}
 
 
-def topical(monkeypatch=None):
+def topical():
     """Texts of 20 topics.  Each idea of a topic has two words, and texts use one or the other."""
-    ideas = [[(f"t{t}a{i}", f"t{t}b{i}") for i in range(24)] for t in range(20)]
+    ideas = [[(f"t{t}a{i}", f"t{t}b{i}") for i in range(60)] for t in range(20)]
     say = lambda t, n: " ".join(random.choice(random.choice(ideas[t])) for _ in range(n))
-    docs = [say(t, 96) for t in range(20) for _ in range(15)]
+    docs = [say(t, 96) for t in range(20) for _ in range(20)]
     items, other, turned = [], [], []
     for t in range(6):
-        body, end = [random.choice(i) for i in random.choices(ideas[t], k=30)], f"so it is ans{t} here"
+        body, end = [random.choice(i) for i in random.sample(ideas[t], 30)], f"so it is ans{t} here"
         items.append(f"{' '.join(body)}. {end}.")
         swap = lambda w: w.replace("a", "*").replace("b", "a").replace("*", "b")
-        other.append(say(t, 64) + ". " + " ".join(swap(w) if k % 8 in (0, 2, 5, 7) and k < 28 else w for k, w in enumerate(body)) + f". {end}. " + say(t, 64))
-        turned.append(say(t + 7, 64) + ". " + " ".join(body[17:] + body[:17]) + f". {end}. " + say(t + 7, 64))
+        other.append(say(t + 10, 64) + ". " + " ".join(swap(w) if k % 5 in (0, 2, 3) else w for k, w in enumerate(body)) + f". {end}. " + say(t + 10, 64))
+        turned.append(say(t + 7, 64) + ". " + " ".join(body[20:] + body[10:20] + body[:10]) + f". {end}. " + say(t + 7, 64))
     return items, docs, other, turned
 
 
@@ -94,5 +94,6 @@ def test_against_all_documents_and_items(spark, monkeypatch):
     want, got = by_hand(), found(spark, items, docs)
     assert len(want) > 80 and {p: v for p, v in got.items() if p in want} == want
     assert all(v == "paraphrase" and p[0] % 17 == p[1] for p, v in got.items() if p not in want)
-    keep = [r.doc_id for r in (d := spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).filter(decontam.leak_free(d, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))).collect()]
-    assert sorted(keep) == sorted(set(range(len(docs))) - {i for i, _ in got})
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    free = frame.filter(decontam.leak_free(frame, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")))
+    assert {r.doc_id for r in free.collect()} == set(range(len(docs))) - {i for i, _ in got}
