@@ -41,7 +41,7 @@ from stavelake.llm.common import release, resident, settled, storage, work_dir
 
 ITEMS, CELL, PASSAGE, BUCKET_BITS = 256, 16, 2, 14
 BUCKETS = 1 << BUCKET_BITS
-RANK, OVERSAMPLE, SIGNS = 64, 16, 4
+RANK, OVERSAMPLE, SIGNS = 48, 16, 2
 LATENT, CANDIDATE, NEAR = 4.0, 0.3, 0.7
 COPY, PARAPHRASE, LOOSE, ANSWER = 0.7, 0.6, 0.4, 0.8
 SLICE = 256
@@ -49,6 +49,8 @@ SLICE = 256
 SEGMENT, CHUNK, PIECE = 1 << 15, 1 << 16, 1 << 20
 #: Blocks of items that a worker keeps, and characters of texts for which it reads the others.
 KEEP, GROUP = 16, 1 << 25
+#: Words of more items of a block than this are summed by products of dense matrices, and so are buckets of more passages.
+WIDE_ITEMS, WIDE_PASSAGES = 16, 32
 WORD = re.compile(r"\w+")
 #: Letters of scripts without spaces: Thai to Myanmar, Khmer, kana and Han.
 UNSPACED = "฀-႟ក-៿々-〇぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
@@ -189,6 +191,11 @@ def dense_signs(width: int) -> np.ndarray:
     return out
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]]
+
+
 def gather(docs: DataFrame, vocabulary: np.ndarray, width: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """Passages; for each bucket and for each word of ``vocabulary`` (sorted hashes) the passages that hold it; the Gram
     matrix of passages (buckets, 0/1) times ``signs(width)``.
@@ -201,7 +208,6 @@ def gather(docs: DataFrame, vocabulary: np.ndarray, width: int) -> tuple[int, np
         release()
         words, look = Words(), Vocabulary(vocabulary)
         columns, value = signs(width)
-        value = value.astype(np.float32)
         count, terms, total, passages = np.zeros(BUCKETS, np.int64), np.zeros(known, np.int64), np.zeros((BUCKETS, width), np.float32), 0
         size = CELL * PASSAGE
 
@@ -210,16 +216,27 @@ def gather(docs: DataFrame, vocabulary: np.ndarray, width: int) -> tuple[int, np
             found = look(h)
             held = found >= 0
             if held.any():
-                terms.__iadd__(np.bincount(np.unique(passage[held] * known + found[held]) % known, minlength=known))
-            key = np.unique(passage * BUCKETS + bucket_of(h))
+                terms.__iadd__(np.bincount(_distinct(passage[held] * known + found[held]) % known, minlength=known))
+            key = _distinct(passage * BUCKETS + bucket_of(h))
             row, bucket = key >> BUCKET_BITS, key & (BUCKETS - 1)
-            count.__iadd__(np.bincount(bucket, minlength=BUCKETS))
-            z = np.zeros(n * width, np.float32)
+            here = np.bincount(bucket, minlength=BUCKETS)
+            count.__iadd__(here)
+            z = np.zeros(n * width)
             for k in range(columns.shape[1]):
-                z += np.bincount(row * width + columns[bucket, k], weights=value[bucket, k], minlength=n * width).astype(np.float32)
-            order = np.argsort(bucket, kind="stable")
-            heads = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
-            total[bucket[order][heads]] += np.add.reduceat(z.reshape(n, width)[row[order]], heads, axis=0)
+                z += np.bincount(row * width + columns[bucket, k], weights=value[bucket, k], minlength=n * width)
+            z = z.astype(np.float32).reshape(n, width)
+            often = np.flatnonzero(here > WIDE_PASSAGES)
+            number = np.full(BUCKETS, -1)
+            number[often] = np.arange(len(often))
+            at = number[bucket]
+            there = np.zeros((len(often), n), np.float32)
+            there[at[at >= 0], row[at >= 0]] = 1
+            total[often] += there @ z
+            row, bucket = row[at < 0], bucket[at < 0]
+            if len(row):
+                order = np.argsort(bucket.astype(np.uint16), kind="stable")
+                heads = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
+                total[bucket[order][heads]] += np.add.reduceat(z[row[order]], heads, axis=0)
 
         for texts in _texts(batches, CHUNK * 6):
             h, firsts = words(texts)
@@ -318,7 +335,7 @@ class Model:
     vocabulary: np.ndarray  # hashes of the items' words, sorted
     terms: np.ndarray  # their weights: inverse passage frequency, 0 for words that no passage has
     buckets: np.ndarray  # weights of the buckets
-    vectors: np.ndarray  # buckets x rank, weighted
+    vectors: np.ndarray  # buckets x rank, weighted, and a last row of zeros
     reach: int  # words around a window that a check touches, at most
     blocks: list[str] = field(default_factory=list)  # files
 
@@ -330,6 +347,11 @@ class Block:
     answers: list[list[int]]
     rows: np.ndarray  # places in the vocabulary, ascending
     gains: np.ndarray  # rows x items: squared weight times occurrences in the item
+    wide: np.ndarray  # rows: number among those of many items, or -1
+    many: np.ndarray  # gains of those
+    heads: np.ndarray  # of the other rows' stretches in (items, values)
+    items: np.ndarray
+    values: np.ndarray
     latent: np.ndarray  # rank x items
     norms: np.ndarray  # items
     cells: np.ndarray  # items: cells of a window
@@ -370,7 +392,7 @@ def learn(docs: DataFrame, benchmark: DataFrame) -> str | None:
     n, count, found, total = gather(docs, vocabulary, RANK + OVERSAMPLE)
     weigh = lambda c: np.log((n + 1) / (c + 1)) + 0.1
     buckets, terms = weigh(count), np.where(found > 0, weigh(found), 0.0)
-    vectors = buckets[:, None] * leading_vectors(buckets, total, RANK)
+    vectors = np.pad(buckets[:, None] * leading_vectors(buckets, total, RANK), ((0, 1), (0, 0)))
     model = Model(vocabulary, terms.astype(np.float32), buckets.astype(np.float32), vectors.astype(np.float32), CELL * cells_of(longest) + 2 * longest)
     folder = work_dir(docs.sparkSession, "decontamination")
     store, base = storage(folder)
@@ -392,7 +414,8 @@ def make_block(model: Model, rows: list[tuple[int | None, np.ndarray, np.ndarray
     counts = np.zeros((len(places), len(rows)))
     latent = np.zeros((model.vectors.shape[1], len(rows)))
     for k, (_, own, _) in enumerate(rows):
-        own = own[first_in_cell(own, np.arange(len(own)) // CELL)]
+        first = np.arange(0, len(own), CELL)
+        own = own[(found := in_cells(own, first, np.minimum(first + CELL, len(own))))[2][found[1]]]
         at = np.searchsorted(places, np.searchsorted(model.vocabulary, own))
         np.add.at(counts[:, k], at, 1)
         there = model.terms[places[at]] > 0
@@ -401,7 +424,12 @@ def make_block(model: Model, rows: list[tuple[int | None, np.ndarray, np.ndarray
     norms = np.sqrt((gains * counts).sum(0) + LATENT * (latent**2).sum(0))
     cells = np.array([cells_of(len(own)) for _, own, _ in rows])
     listed = lambda k: [r[k].tolist() for r in rows]
-    return Block([r[0] for r in rows], listed(1), listed(2), places, gains.astype(np.float32), latent.astype(np.float32), norms.astype(np.float32), cells)
+    gains = gains.astype(np.float32)
+    often = (gains > 0).sum(1) > WIDE_ITEMS
+    few = np.where(often[:, None], 0, gains)
+    row, item = np.nonzero(few)
+    heads = np.searchsorted(row, np.arange(len(places) + 1))
+    return Block([r[0] for r in rows], listed(1), listed(2), places, gains, np.where(often, np.cumsum(often) - 1, -1), gains[often], heads, item, few[row, item], latent.astype(np.float32), norms.astype(np.float32), cells)
 
 
 def _load(path: str) -> object:
@@ -438,11 +466,15 @@ def _running(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_in_cell(h: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """Which words are the first of their kind in their cell; a word that repeats counts once a cell."""
-    out = np.zeros(len(h), bool)
-    out[np.unique(h ^ (cell.astype(np.uint64) * MIX), return_index=True)[1]] = True
-    return out
+def in_cells(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells x ``CELL``: places of words, whether there is one, and whether it is the first of its kind in its cell."""
+    at = start[:, None] + np.arange(CELL)
+    there = at < end[:, None]
+    at = np.minimum(at, len(h) - 1)
+    word, once = h[at], there.copy()
+    for k in range(1, CELL):
+        once[:, k:] &= word[:, k:] != word[:, :-k]
+    return at, there, once
 
 
 class Chunk:
@@ -460,28 +492,34 @@ class Chunk:
         first = np.cumsum(cells) - cells
         self.start = self.begin[self.segment] + (np.arange(len(self.segment)) - first[self.segment]) * CELL  # of each cell, in words
         self.last = (first + cells)[self.segment]  # end of its segment, in cells
-        self.place = look(self.h)
+        self.known, self.place = len(model.vocabulary), look(self.h)
         self.bucket = bucket_of(self.h)
-        self.cell = np.repeat(np.arange(len(self.start)), np.diff(np.r_[self.start, len(self.h)]))  # of each word
-        self.once = first_in_cell(self.h, self.cell)
+        at, there, once = in_cells(self.h, self.start, np.r_[self.start[1:], len(self.h)])
+        self.once = once[there]  # of each word: a word that repeats counts once a cell
         own = model.terms[np.maximum(self.place, 0)]
         self.weight = np.where(self.place >= 0, own, model.buckets[self.bucket]) * self.once
-        at = np.flatnonzero(self.once)
-        heads = np.searchsorted(at, self.start)
-        self.latent = _running(np.add.reduceat(model.vectors[self.bucket[at]], heads, axis=0))
-        self.energy = _running(np.add.reduceat(self.weight[at] ** 2, heads))
-        self.hits = at[self.place[at] >= 0]
+        self.latent = _running(model.vectors[np.where(once, self.bucket[at], BUCKETS)].sum(1))
+        self.energy = _running(np.where(once, self.weight[at] ** 2, 0).sum(1))
+        self.cell, slot = np.nonzero(once & (self.place[at] >= 0))  # of each word that an item has
+        self.hits = self.place[at[self.cell, slot]]
 
     def grid(self, block: Block) -> np.ndarray:
         """Running sums over cells of each item's gain."""
-        out = np.zeros((len(self.segment) + 1, len(block.ids)), np.float32)
-        places = self.place[self.hits]
-        row = np.minimum(np.searchsorted(block.rows, places), len(block.rows) - 1)
-        good = block.rows[row] == places
-        row, cell = row[good], self.cell[self.hits[good]]
-        if len(row):
-            heads = np.flatnonzero(np.r_[True, np.diff(cell) != 0])
-            out[cell[heads] + 1] = np.add.reduceat(block.gains[row], heads, axis=0)
+        cells, items = len(self.segment), len(block.ids)
+        row, cell = self.hits, self.cell
+        if len(block.rows) < self.known:  # other blocks have words of their own
+            row = np.minimum(np.searchsorted(block.rows, row), len(block.rows) - 1)
+            good = block.rows[row] == self.hits
+            row, cell = row[good], cell[good]
+        wide = block.wide[row]
+        n = (block.heads[row + 1] - block.heads[row])[wide < 0]
+        one = np.repeat(np.flatnonzero(wide < 0), n)
+        at = np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n) + block.heads[row[one]]
+        out = np.zeros((cells + 1, items), np.float32)
+        out[1:] = np.bincount(cell[one] * items + block.items[at], weights=block.values[at], minlength=cells * items).reshape(cells, items)
+        if len(block.many):
+            counts = np.bincount(cell[wide >= 0] * len(block.many) + wide[wide >= 0], minlength=cells * len(block.many))
+            out[1:] += counts.reshape(cells, -1).astype(np.float32) @ block.many
         return np.cumsum(out, axis=0, out=out)
 
 
