@@ -259,9 +259,12 @@ def bucket_batches(df: DataFrame, size: str, key: str, batch: int, seed: int = 0
 
 
 def exact_rank(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with a zero-based ``rank`` in global order: ranges are sorted apart and shifted by their counts."""
+    """``df`` with a zero-based ``rank`` in global order: ranges are sorted apart and shifted by their counts.
+
+    Ranges come from a sample, so they are dealt once and kept: counts and rows must agree on them.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("part_", F.spark_partition_id())
+    ranged = df.repartitionByRange(parts, *order).withColumn("part_", F.spark_partition_id()).persist()
     ranged = ranged.withColumn("in_part", F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1)
     counts = ranged.groupBy("part_").agg(F.count(F.lit(1)).alias("c"))
     shift = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
