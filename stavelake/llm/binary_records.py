@@ -9,7 +9,8 @@ bytes for each record: i64 doc_id (smallest i64: null), u64 offset of the record
 u32 checksum of the first 24 bytes.  A reader can thus seek to any document, and shuffle without a scan.
 
 Defined results: null and empty texts give the end id alone; rows that repeat a doc_id are all written, in the order
-of their texts; a null doc_id sorts first; very long texts are encoded whole; an empty table gives no shard.
+of the hashes of their texts, so that they may spread over shards; a null doc_id sorts first; very long texts are encoded
+whole; an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import resident, storage, stored, work_dir
+from stavelake.llm.common import resident, settled, storage, stored, work_dir
 
 MAGIC = b"SLTREC01"
 NULL_ID = -(1 << 63)
 #: Distinct words that a worker remembers: the last so many, and as many before them.
 CACHE_WORDS = 600_000
 STOPS = ".,;:!?"
+#: Bytes of input to a shard, and shards at most (an estimate without files can be any number).
+SHARD_BYTES, MOST_SHARDS = 128 << 20, 1_000_000
 
 
 def masked(data: bytes) -> int:
@@ -191,13 +194,19 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int) ->
                 {"shard": pa.array([shard], pa.int32()), "file": [f"{folder}/{name}.rec"], "index": [f"{folder}/{name}.idx"], "records": [records], "tokens": [tokens]}
             )
 
-    spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash_"))
+    ordered = rows.repartitionByRange(shards_for(docs), "doc_id", "hash_").sortWithinPartitions("doc_id", "hash_").select("doc_id", "text")
     return stored(ordered.mapInArrow(write, "shard int, file string, index string, records long, tokens long"), "rec-manifest")
 
 
+def shards_for(docs: DataFrame, size: int = SHARD_BYTES) -> int:
+    """Shards of about ``size`` bytes by the size of the files that are read, at least as many as shuffles have partitions."""
+    files = float(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return int(min(max(least, files // size), MOST_SHARDS))
+
+
 def read_shard(manifest_row: dict, at: list[int] | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """(doc_id, first token within the shard, ids) of a shard; of the records numbered in ``at``, in that order, if given."""
     store, path = storage(manifest_row["index"])
@@ -258,4 +267,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
 
 
 def record_round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    return read_records(write_records(docs, tokenizer, work_dir(spark, "records"), end_id))
+    """Documents written as records and read back; the records are deleted in the end."""
+    folder = work_dir(spark, "records")
+    manifest = write_records(docs, tokenizer, folder, end_id)
+    return settled(read_records(manifest), "records-read", folder, manifest)

@@ -8,24 +8,32 @@ larger containment: bytes of the chunks that both have, over the bytes of the sm
 touch the end of a text, and would be cut elsewhere in a longer one, count like any other.
 
 Defined results: null and empty texts have the empty fingerprint; the likeness of two empty ones is 1, of an empty and
-another 0; rows that repeat are kept, and ties of doc_id are ordered by text; a null doc_id comes last in descending
-order; of an only row the next one is itself; other columns are ignored.
+another 0; rows that repeat are kept, and ties of doc_id are ordered by the hash of their texts; a null doc_id comes last in
+descending order; of an only row the next one is itself; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stavelake.llm.common import release
+from stavelake.operators.corpus import exact_rank
+
 LEAST, NORMAL, MOST = 32, 96, 512
 STRICT, LOOSE = 8, 5  # bits that must be zero
 WINDOW = 32
+#: Ranges of rows, at most.
+RANGES = 100_000
+#: Stands for a null doc_id; its negative is in range.
+NULL_ID = 1 - (1 << 63)
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -93,33 +101,44 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - n] + after[:n]
 
 
+def _bounds(rows: DataFrame, rows_in_range: int) -> list[tuple[int, int]]:
+    """(-key, hash) of the first of each range of about ``rows_in_range`` distinct rows, in order; at most ``RANGES`` of them."""
+    ids = rows.select((-F.col("key_")).alias("down_"), "hash_").distinct()
+    n = ids.count()
+    each = max(rows_in_range, -(-n // RANGES))
+    heads = exact_rank(ids, ["down_", "hash_"]).filter(F.col("rank") % each == 0)
+    return sorted((r["down_"], r["hash_"]) for r in heads.select("down_", "hash_").collect())
+
+
 def with_next(docs: DataFrame, rows_in_range: int = 4000) -> DataFrame:
-    """(range_, doc_id, text, lent_): rows dealt by ranges of doc_id, each range followed by the first row of the next.
+    """(range_, lent_, down_, hash_, n_, text): rows dealt to ranges of descending doc_id, each followed by the first row of the
+    next range (the last by the very first), which is lent.
 
-    The shuffle moves each text once.  Bounds come from approximate quantiles, a number for each ``rows_in_range`` rows;
-    the head of each range is the largest id in it, found on ids alone, and is dealt to two ranges.
+    The shuffle moves each text once.  Order is by doc_id and the hash of the text, so many texts of one doc_id spread over
+    ranges; equal rows of a batch become one with their number ``n_``.  Tasks know the first row of each range, two numbers for
+    a range and ``RANGES`` of them at most.
     """
-    rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key_"), F.coalesce("text", F.lit("")).alias("text"))
-    n = rows.count()
-    parts = max(1, n // rows_in_range)
-    bounds = sorted({int(x) for x in rows.select(F.col("key_").cast("double")).approxQuantile("key_", [k / parts for k in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    # ranges ascend as ids descend: the number of bounds above the id
-    spark = docs.sparkSession
-    step = np.array(bounds, np.int64)
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(step) - np.searchsorted(step, ids.to_numpy(), side="right"), dtype="int32")
-
-    ranged = rows.withColumn("range_", place("key_") if bounds else F.lit(0))
-    heads = {r["range_"]: r["m"] for r in ranged.groupBy("range_").agg(F.max("key_").alias("m")).collect()}  # one row for each range
-    order = sorted(heads)
-    lent = [(heads[r], order[k - 1]) for k, r in enumerate(order)]  # the very first goes to the last range
-    given = F.broadcast(spark.createDataFrame(lent or [(0, 0)], "key_ long, to_ int"))
-    dealt = ranged.join(given, "key_", "left")
-    copies = F.when(F.col("to_").isNotNull(), F.array(F.struct(F.col("range_").alias("r"), F.lit(0).alias("l")), F.struct(F.col("to_").alias("r"), F.lit(1).alias("l")))).otherwise(F.array(F.struct(F.col("range_").alias("r"), F.lit(0).alias("l"))))
-    dealt = dealt.withColumn("copy_", F.explode(copies)).select(F.col("copy_.r").alias("range_"), F.col("copy_.l").alias("lent_"), "key_", "text")
-    return dealt.repartitionById(len(bounds) + 1, "range_").sortWithinPartitions("range_", "lent_", F.desc("key_"), "text")
+    rows = docs.select(F.greatest(F.coalesce("doc_id", F.lit(NULL_ID)), F.lit(NULL_ID)).alias("key_"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash_", F.xxhash64("text"))
+    heads = _bounds(rows, rows_in_range)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        names = ["range_", "lent_", "down_", "hash_", "n_", "text"]
+        for batch in batches:
+            order = list(zip((-batch.column(0).to_numpy()).tolist(), batch.column(1).to_pylist(), strict=True))
+            first, n = {}, Counter(order)
+            for i, key in enumerate(order):
+                first.setdefault(key, i)
+            place = {key: bisect_right(heads, key) - 1 for key in first}
+            own = [(place[k], 0, *k, n[k], i) for k, i in first.items()]
+            own += [((place[k] - 1) % len(heads), 1, *k, 1, i) for k, i in first.items() if heads[place[k]] == k]
+            spot, lent, down, hashes, count, at = zip(*own, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(spot, pa.int32()), pa.array(lent, pa.int32()), pa.array(down, pa.int64()), pa.array(hashes, pa.int64()), pa.array(count, pa.int64()), batch.column(2).take(pa.array(at))], names
+            )
+
+    dealt = rows.select("key_", "hash_", "text").mapInArrow(deal, "range_ int, lent_ int, down_ long, hash_ long, n_ long, text string")
+    return dealt.repartitionById(max(len(heads), 1), "range_").sortWithinPartitions("range_", "lent_", "down_", "hash_")
 
 
 def fingerprint_documents(docs: DataFrame, rows_in_range: int = 4000) -> DataFrame:
@@ -130,14 +149,17 @@ def fingerprint_documents(docs: DataFrame, rows_in_range: int = 4000) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, size = None, [], 0  # held: range, key, text and chunks of the row that waits for its next
 
-        def emit(key: int, text: str, own: dict[str, int], after: str, next_: dict[str, int]) -> None:
+        def emit(down: int, text: str, own: dict[str, int], after: str, next_: dict[str, int], times: int) -> None:
             new = edited(text, after)
             found = chunks(new)
             sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-            rows.append((None if key == -(1 << 63) else key, len(text), sha, spelled(own), spelled(found), likeness(own, found), likeness(own, next_)))
+            rows.extend([(None if -down == NULL_ID else -down, len(text), sha, spelled(own), spelled(found), likeness(own, found), likeness(own, next_))] * times)
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
         for batch in batches:
-            spot, lent, keys, texts = (batch.column(i) for i in range(4))
+            spot, lent, downs, n, texts = (batch.column(i) for i in (0, 1, 2, 4, 5))
             for i in range(batch.num_rows):
                 r, is_lent, text = spot[i].as_py(), lent[i].as_py(), texts[i].as_py()
                 if held is not None and held[0] != r:
@@ -146,14 +168,22 @@ def fingerprint_documents(docs: DataFrame, rows_in_range: int = 4000) -> DataFra
                     continue
                 own = chunks(text)
                 if held is not None:
-                    emit(held[1], held[2], held[3], text, own)
+                    emit(*held[1:], text, own, 1)
                     size += len(held[2])
-                held = None if is_lent else (r, keys[i].as_py(), text, own)
+                held = None if is_lent else (r, downs[i].as_py(), text, own)
+                left = n[i].as_py() - 1  # equal rows follow one another
+                while left and held is not None:
+                    part = min(left, max(1, (4 << 20) // (len(text) + 1)))
+                    emit(*held[1:], text, own, part)
+                    size, left = size + part * len(text), left - part
+                    if size > 4 << 20:
+                        yield flush()
+                        rows, size = [], 0
                 if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    yield flush()
                     rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            yield flush()
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs, rows_in_range).mapInArrow(run, schema)

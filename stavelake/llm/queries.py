@@ -66,9 +66,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stavelake.llm.preference import format_preferences, neighbour_pairs
+    from stavelake.llm.preference import preferences
 
-    return format_preferences(neighbour_pairs(table(spark, sf_dir, "conversations")))
+    return preferences(table(spark, sf_dir, "conversations"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,19 +93,43 @@ SQL = {
         ), n as (
           select *, row_number() over (partition by conv_id order by turn, role, text) as i from t
         ), l as (
-          select conv_id, max(i) as i, max_by(text, i) as text from n where role = 'assistant' group by conv_id
-        ), c as (
-          select l.conv_id as pair_id, l.i, l.text as own, o.text as other
-          from l join l o on o.conv_id = case when l.conv_id % 2 = 0 then l.conv_id + 1 else l.conv_id - 1 end
+          select conv_id, max(i) as n, row_number() over (order by conv_id) - 1 as r from n where role = 'assistant' group by conv_id
+        ), p as (
+          select a.conv_id as pair_id, b.conv_id as partner_id, a.n as own_n, b.n as other_n, ('0x' || substr(md5(a.conv_id::varchar), 1, 8))::bigint % a.n as cut
+          from l a join l b on b.r = xor(a.r, 1)
+        ), chosen as (
+          select pair_id, i, role, text from p join n on conv_id = pair_id and i <= own_n
+        ), rejected as (
+          select pair_id, i, role, text from p join n on conv_id = pair_id and i <= cut
+          union all select pair_id, i, role, text from p join n on conv_id = partner_id and i > cut and i <= other_n
+          union all select pair_id, cut + 1, role, text from p join n on conv_id = partner_id and i = other_n and other_n <= cut
+        ), apart as (
+          select pair_id, min(i) - 1 as common from (
+            select coalesce(a.pair_id, b.pair_id) as pair_id, coalesce(a.i, b.i) as i
+            from chosen a full join rejected b on a.pair_id = b.pair_id and a.i = b.i where (a.role = b.role and a.text = b.text) is not true
+          ) group by pair_id
+        ), both_sides as (
+          select pair_id, 'c' as side, i, role, text from chosen union all select pair_id, 'r', i, role, text from rejected
+        ), numbered as (
+          select s.*, coalesce(common, (select max(i) from both_sides x where x.pair_id = s.pair_id)) as common,
+            '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as shown
+          from both_sides s left join apart using (pair_id)
+        ), placed as (
+          select *, coalesce(sum(length(shown)) over (partition by pair_id, side order by i rows between unbounded preceding and 1 preceding), 0) + 13 + length(role) as begins
+          from numbered where i > common
+        ), done as (
+          select pair_id, side, string_agg(shown, '' order by i) as shown,
+            string_agg(case when role = 'assistant' then begins::varchar || '-' || (begins + length(text) + 10)::varchar end, ',' order by i) as mask
+          from placed group by pair_id, side
+        ), prompts as (
+          select pair_id, max(common) as common, string_agg(case when side = 'c' and i <= common then shown end, '' order by i) as prompt from numbered group by pair_id
         )
-        select pair_id, cast(c.i - (own <> other)::int as bigint) as prompt_turns,
-          coalesce((select string_agg('<|im_start|>' || role || chr(10) || n.text || '<|im_end|>' || chr(10), '' order by n.i)
-            from n where n.conv_id = pair_id and n.i <= c.i - (own <> other)::int), '') as prompt,
-          case when own = other then '' else '<|im_start|>assistant' || chr(10) || own || '<|im_end|>' || chr(10) end as chosen,
-          case when own = other then '' else '<|im_start|>assistant' || chr(10) || other || '<|im_end|>' || chr(10) end as rejected,
-          case when own = other then '' else '22-' || (length(own) + 32) end as chosen_mask,
-          case when own = other then '' else '22-' || (length(other) + 32) end as rejected_mask
-        from c
+        select pair_id, partner_id, 'paired' as status, common::bigint as prompt_turns, coalesce(prompt, '') as prompt, coalesce(c.shown, '') as chosen, coalesce(r.shown, '') as rejected,
+          coalesce(c.mask, '') as chosen_mask, coalesce(r.mask, '') as rejected_mask
+        from p join prompts using (pair_id) left join (from done where side = 'c') c using (pair_id) left join (from done where side = 'r') r using (pair_id)
+        union all
+        select conv_id, null, case when bool_or(role = 'assistant') then 'unpaired' else 'no_assistant' end, null, null, null, null, null, null
+        from t where conv_id not in (select pair_id from p) group by conv_id
     """,
 }
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import salted_group_value, storage, stored, work_dir
+from stavelake.llm.common import delete, discard, may_hold, salted_group_value, storage, stored, work_dir
 
 MAGIC, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 STEP = 1 << 20
@@ -251,14 +251,18 @@ def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     """(page_id, url, html, refers_to): ``refers_to`` is null for responses.
 
     Of equal payloads of at least ``least`` bytes, the one with the largest page_id is the response.  Payloads are
-    compared by SHA-256, and the groups are formed on digests alone, salted, so that no payload waits in a group.
+    compared by SHA-256, and the groups are formed on digests alone, salted, so that no payload waits in a group; only
+    payloads of revisits (and of few others, by a bitmap) are shuffled.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     long = F.octet_length("html") >= least
     keyed = rows.withColumn("key_", F.when(long, F.sha2("html", 256)))
     dealt = salted_group_value(keyed.select("page_id", "key_").filter("key_ is not null"), ["key_"], "page_id", F.max("page_id"))
-    revisits = dealt.filter("page_id < group_value").select("page_id", "key_", F.col("group_value").alias("refers_to")).distinct()
-    return keyed.join(revisits, ["page_id", "key_"], "left").select("page_id", "url", "html", "refers_to")
+    revisits = stored(dealt.filter("page_id < group_value").select("page_id", "key_", F.col("group_value").alias("refers_to")).distinct(), "revisits")
+    met = may_hold(keyed, revisits, "page_id", "key_")
+    columns = ["page_id", "url", "html", "refers_to"]
+    out = met.filter("held__").join(revisits, ["page_id", "key_"], "left").select(*columns)
+    return out.unionByName(met.filter("not held__").withColumn("refers_to", F.lit(None).cast(pages.schema["page_id"].dataType)).select(*columns))
 
 
 def write_archives(records: DataFrame, folder: str, roll_bytes: int = 64 << 20) -> DataFrame:
@@ -342,12 +346,29 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     return files.repartition(n).mapInArrow(read, RECORD_SCHEMA)
 
 
+def whole(read: DataFrame, manifest: DataFrame) -> None:
+    """Raises unless each file of ``manifest`` gave as many records as were written, and no gap."""
+    found = read.groupBy("file").agg(F.count_if(F.col("status") == "record").alias("found"), F.count_if(F.col("status") == "gap").alias("gaps"))
+    off = manifest.join(found, "file", "left").filter("found is null or found <> records or gaps > 0").limit(5).collect()
+    if off:
+        raise ValueError("archives are not whole: " + "; ".join(f"{r['file']} has {r['found'] or 0} of {r['records']} records and {r['gaps'] or 0} gaps" for r in off))
+
+
 def archive_round_trip(spark: SparkSession, pages: DataFrame, least: int = 1000) -> DataFrame:
-    """Pages written as WARC records, read back by the salvage reader, one row for each record read."""
-    manifest = write_archives(plan_records(pages, least), work_dir(spark, "warc"))
+    """Pages written as WARC records, read back by the salvage reader, one row for each record read.
+
+    What is read is counted against the manifest; a lost record or a gap is an error.  The archives are deleted in the end.
+    """
+    folder = work_dir(spark, "warc")
+    records = plan_records(pages, least)
+    manifest = write_archives(records, folder)
+    read = stored(read_archives(manifest, with_payload=False), "warc-records")
+    whole(read, manifest)
     page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1)
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
-    return read_archives(manifest, with_payload=False).filter("status = 'record'").select(
+    discard(manifest)
+    delete(spark, folder)
+    return read.filter("status = 'record'").select(
         number("record_id").alias("page_id"),
         "payload_bytes",
         "payload_digest",

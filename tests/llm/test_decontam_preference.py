@@ -1,5 +1,6 @@
 """op4 on planted leaks; op9 against plain Python."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -126,14 +127,42 @@ def test_preferences(spark):
     assert got == {i: by_hand(a, b) for i, a, b in pairs}
 
 
-def test_neighbour_pairs(spark):
-    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (0, 2, "user", "late"), (1, 0, "user", "z"), (1, 1, "assistant", None), (1, 1, "assistant", "<|im_end|>x")]
-    rows += [(2, 0, "user", "only"), (3, 0, "assistant", "r"), (4, 0, "assistant", "alone"), (None, 0, "assistant", "r"), (-2, 0, "assistant", "m"), (-1, 0, "assistant", "m")]
-    frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, k string")
-    got = {r.pair_id: r for r in preference.neighbour_pairs(frame).collect()}
-    assert set(got) == {0, 1, -2, -1}
-    assert [tuple(t) for t in got[0].rejected] == [("user", "q"), ("assistant", "< |im_end|>x")]
-    assert [tuple(t) for t in got[1].chosen] == [("user", "z"), ("assistant", ""), ("assistant", "< |im_end|>x")]
-    same = {r.pair_id: r for r in preference.format_preferences(preference.neighbour_pairs(frame)).collect()}[-1]
-    assert (same.prompt_turns, same.chosen, same.rejected, same.chosen_mask) == (1, "", "", "")
-    assert preference.neighbour_pairs(frame.limit(0)).count() == 0
+def test_conversation_pairs(spark):
+    """Every conversation gives a row; branches leave at any turn, and the partner goes on from there."""
+    rows = []
+    for c in (3, 4, 10, 11, 30, 31, 45):
+        for i in range(random.randint(2, 7)):
+            rows.append((c, i, "assistant" if i % 2 else "user", random.choice(["same", f"{c}.{i} <|im_end|>", None])))
+    rows += [(20, 0, "user", "only"), (21, 0, None, "x"), (50, 0, "assistant", "r"), (51, 1, "assistant", "a"), (51, 1, "assistant", "A"), (51, 0, "user", "é"), (51, 2, "user", "late")]
+    rows += [(-2, 0, "assistant", "m"), (-1, 0, "assistant", "m"), (None, 0, "assistant", "r")]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, k string").repartition(3)
+    got = {r.pair_id: r for r in preference.preferences(frame).collect()}
+    by = {}
+    for c, i, role, text in rows:
+        if c is not None:
+            by.setdefault(c, []).append((i, role or "", (text or "").replace("<|", "< |")))
+    turns = {c: [t[1:] for t in sorted(v)] for c, v in by.items()}
+    end = {c: max(i + 1 for i, t in enumerate(v) if t[0] == "assistant") for c, v in turns.items() if any(t[0] == "assistant" for t in v)}
+    order = sorted(end)
+    assert set(got) == set(turns) and len(order) % 2 == 1
+    cuts = []
+    for k, c in enumerate(order[:-1]):
+        o = order[k ^ 1]
+        own, other = turns[c][: end[c]], turns[o][: end[o]]
+        cut = int(hashlib.md5(str(c).encode()).hexdigest()[:8], 16) % len(own)
+        rejected = own[:cut] + (other[cut:] if len(other) > cut else other[-1:])
+        r = got[c]
+        assert (r.prompt_turns, r.prompt, r.chosen, r.chosen_mask, r.rejected, r.rejected_mask) == by_hand(own, rejected) and (r.partner_id, r.status) == (o, "paired")
+        cuts.append(len(own) - r.prompt_turns)
+    assert len(set(cuts)) > 2 and (got[-1].prompt_turns, got[-1].chosen) == (1, "")
+    assert got[order[-1]].status == "unpaired" and {got[c].status for c in turns.keys() - end.keys()} == {"no_assistant"} and got[20].prompt is None
+    assert preference.preferences(frame.limit(0)).count() == 0
+
+
+def test_long_and_null_conversations(spark):
+    long = [("user" if i % 3 else "assistant", "x" * (i % 7)) for i in range(3 * preference.BLOCK + 5)]
+    turns = preference.TURNS
+    pairs = [(0, long, long[:1] + [("assistant", "b")] + long[2:]), (1, None, [("assistant", None)]), (2, None, None), (3, [("user", "a")], []), (4, long[: preference.BLOCK], [])]
+    frame = spark.createDataFrame(pairs, f"pair_id int, chosen {turns}, rejected {turns}")
+    got = {r.pair_id: (r.prompt_turns, r.prompt, r.chosen, r.chosen_mask, r.rejected, r.rejected_mask) for r in preference.format_preferences(frame).collect()}
+    assert got == {i: by_hand(a or [], [(r, t or "") for r, t in b or []]) for i, a, b in pairs}

@@ -108,3 +108,21 @@ def test_gaps_are_logged_in_the_frame(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(data[:10] + b"!" + data[11:])
     got = warc.read_archives(spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "file string")).orderBy("offset").collect()
     assert [r.status for r in got] == ["gap", "record", "record"] and got[0].reason and got[1].payload is not None
+
+
+def test_lost_records_and_gaps_are_errors(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(6)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages.withColumn("refers_to", pages.page_id * 0).selectExpr("page_id", "url", "html", "nullif(refers_to, 0) as refers_to"), str(tmp_path / "out"))
+    warc.whole(warc.read_archives(manifest), manifest)
+    file = manifest.first().file
+    data = open(file, "rb").read()
+    for broken in (data[:-20], data[: len(data) // 2] + b"\0\0" + data[len(data) // 2 + 2 :], data + b"junk"):
+        open(file, "wb").write(broken)
+        with pytest.raises(ValueError, match="not whole"):
+            warc.whole(warc.read_archives(manifest), manifest)
+
+
+def test_very_long_page(spark):
+    pages = spark.createDataFrame([(1, "u", "é" * 3_000_000), (2, "u", "é" * 3_000_000), (3, None, "x")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.archive_round_trip(spark, pages).collect()}
+    assert (got[1].payload_bytes, got[1].refers_to, got[2].record_type, got[2].payload_digest) == (6_000_000, 2, "response", hashlib.sha1(("é" * 3_000_000).encode()).hexdigest())
