@@ -181,9 +181,11 @@ def bpe(path: str, pattern: str, cache: int = CACHE, batch: int = BATCH) -> Duck
     return resident(("bpe", path, pattern, cache, batch), lambda: DuckBpe(path, pattern, cache, batch))
 
 
-def encode_documents(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = True, cache: int = CACHE, batch: int = BATCH) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = True, cache: int = CACHE, batch: int = BATCH, with_decoded: bool | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded, decoded_sha256); ``ids`` (decimal, by spaces) and ``decoded`` are null
-    without ``with_ids``.  No shuffle; a worker's memory is bounded by its cache and one group of texts."""
+    without ``with_ids`` and ``with_decoded`` (as ``with_ids`` unless given).  No shuffle; a worker's memory is bounded by its
+    cache and one group of texts."""
+    with_decoded = with_ids if with_decoded is None else with_decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(ranks, pattern, cache, batch)
@@ -198,7 +200,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, with_ids: bool =
                 found = [known[w] for w in words]
                 ids = " ".join([x[0] for x in found])
                 data = b"".join([x[1] for x in found])
-                rows.append((key, ids.count(" ") + bool(ids), ids if with_ids else None, hashlib.sha256(ids.encode()).hexdigest(), data if with_ids else None, hashlib.sha256(data).hexdigest()))
+                rows.append((key, ids.count(" ") + bool(ids), ids if with_ids else None, hashlib.sha256(ids.encode()).hexdigest(), data if with_decoded else None, hashlib.sha256(data).hexdigest()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
         keys, texts, size = [], [], 0
