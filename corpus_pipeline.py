@@ -42,12 +42,10 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (decimal, by spaces) of every document, and digests of them and of what they decode to."""
-    encoded = duck_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache=WORDS, batch=20_000)
+    encoded = duck_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache=WORDS, batch=20_000, with_decoded=False)
     return encoded.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
-
-
 def _shipped(stage):
     return lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir)
 
