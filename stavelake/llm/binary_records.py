@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import resident, settled, storage, stored, work_dir
+from stavelake.llm.common import lean, resident, settled, storage, stored, work_dir
 
 MAGIC = b"SLTREC01"
 NULL_ID = -(1 << 63)
@@ -197,7 +197,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int) ->
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash_"))
     ordered = rows.repartitionByRange(shards_for(docs), "doc_id", "hash_").sortWithinPartitions("doc_id", "hash_").select("doc_id", "text")
-    return stored(ordered.mapInArrow(write, "shard int, file string, index string, records long, tokens long"), "rec-manifest")
+    return stored(ordered.mapInArrow(lean(write, keep=True), "shard int, file string, index string, records long, tokens long"), "rec-manifest")
 
 
 def shards_for(docs: DataFrame, size: int = SHARD_BYTES) -> int:
@@ -263,7 +263,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
     spark = manifest.sparkSession
     schema = "file string, index string, start long"
     files = spark.createDataFrame([(r["file"], r["index"], starts[r["file"]]) for r in shards], schema)
-    return files.repartition(max(1, len(shards))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, len(shards))).mapInArrow(lean(read, keep=True), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def record_round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

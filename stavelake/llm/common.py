@@ -142,11 +142,32 @@ def resident(key: tuple, make: Callable[[], Any]) -> Any:
 
 
 def release() -> None:
-    """Gives back what ``resident`` holds.  Operators that keep nothing call it first, as workers outlive their jobs."""
+    """Gives back what ``resident`` holds."""
     if _resident:
         _resident.clear()
         gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that allocators keep for later back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator], keep: bool = False) -> Callable[[Iterator], Iterator]:
+    """``run`` as a task of a worker that outlives it: what other operators left goes first (unless ``keep``), and what
+    allocators hold goes in the end."""
+
+    def task(batches: Iterator) -> Iterator:
+        if not keep:
+            release()
         try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task

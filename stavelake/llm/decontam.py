@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import release, resident, settled, storage, work_dir
+from stavelake.llm.common import lean, resident, settled, storage, trim, work_dir
 
 ITEMS, CELL, PASSAGE, BUCKET_BITS = 256, 16, 2, 14
 BUCKETS = 1 << BUCKET_BITS
@@ -205,7 +205,6 @@ def gather(docs: DataFrame, vocabulary: np.ndarray, width: int) -> tuple[int, np
     known = len(vocabulary)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         words, look = Words(), Vocabulary(vocabulary)
         columns, value = signs(width)
         count, terms, total, passages = np.zeros(BUCKETS, np.int64), np.zeros(known, np.int64), np.zeros((BUCKETS, width), np.float32), 0
@@ -288,7 +287,7 @@ def gather(docs: DataFrame, vocabulary: np.ndarray, width: int) -> tuple[int, np
 
     schema = "slice int, passages long, count binary, total binary"
     tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
-    parts = docs.select("text").coalesce(tasks).mapInArrow(sums, schema).repartition("slice").sortWithinPartitions("slice").mapInArrow(add_up, schema)
+    parts = docs.select("text").coalesce(tasks).mapInArrow(lean(sums), schema).repartition("slice").sortWithinPartitions("slice").mapInArrow(lean(add_up), schema)
     n, count, terms, total = 0, np.zeros(BUCKETS, np.int64), np.zeros(known, np.int64), np.zeros((BUCKETS, width))
     for r in parts.toLocalIterator():  # rows of fixed number for the buckets, and one for 4096 words of the items
         n, found = r["passages"], np.frombuffer(r["count"], np.int64)
@@ -640,7 +639,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return settled(docs.select("doc_id", "text").mapInArrow(run, SCHEMA), "leaks", folder)
+    return settled(docs.select("doc_id", "text").mapInArrow(lean(run, keep=True), SCHEMA), "leaks", folder)
 
 
 def leak_free(docs: DataFrame, benchmark: DataFrame) -> Column:
@@ -650,9 +649,12 @@ def leak_free(docs: DataFrame, benchmark: DataFrame) -> Column:
     @F.pandas_udf("boolean")
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         searcher = resident(("leaks", folder), lambda: Searcher(folder))
-        for part in parts:
-            texts = [t if isinstance(t, str) else None for t in part]
-            held = {t for t, *_ in searcher.search(texts)}
-            yield pd.Series([i not in held for i in range(len(texts))])
+        try:
+            for part in parts:
+                texts = [t if isinstance(t, str) else None for t in part]
+                held = {t for t, *_ in searcher.search(texts)}
+                yield pd.Series([i not in held for i in range(len(texts))])
+        finally:
+            trim()
 
     return clean("text") if folder else F.lit(True)

@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from stavelake.llm.common import resident
+from stavelake.llm.common import lean, resident
 
 LONG = 512
 #: Characters of texts that are encoded together.
@@ -217,4 +217,4 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, with_ids: bool =
             yield flush(keys, texts)
 
     schema = "doc_id long, n_tokens long, ids string, ids_sha256 string, decoded binary, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run, keep=True), schema)

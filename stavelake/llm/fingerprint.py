@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import release
+from stavelake.llm.common import lean
 from stavelake.operators.corpus import exact_rank
 
 LEAST, NORMAL, MOST = 32, 96, 512
@@ -122,7 +122,6 @@ def with_next(docs: DataFrame, rows_in_range: int = 4000) -> DataFrame:
     heads = _bounds(rows, rows_in_range)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         names = ["range_", "lent_", "down_", "hash_", "n_", "text"]
         for batch in batches:
             order = list(zip((-batch.column(0).to_numpy()).tolist(), batch.column(1).to_pylist(), strict=True))
@@ -137,7 +136,7 @@ def with_next(docs: DataFrame, rows_in_range: int = 4000) -> DataFrame:
                 [pa.array(spot, pa.int32()), pa.array(lent, pa.int32()), pa.array(down, pa.int64()), pa.array(hashes, pa.int64()), pa.array(count, pa.int64()), batch.column(2).take(pa.array(at))], names
             )
 
-    dealt = rows.select("key_", "hash_", "text").mapInArrow(deal, "range_ int, lent_ int, down_ long, hash_ long, n_ long, text string")
+    dealt = rows.select("key_", "hash_", "text").mapInArrow(lean(deal), "range_ int, lent_ int, down_ long, hash_ long, n_ long, text string")
     return dealt.repartitionById(max(len(heads), 1), "range_").sortWithinPartitions("range_", "lent_", "down_", "hash_")
 
 
@@ -186,4 +185,4 @@ def fingerprint_documents(docs: DataFrame, rows_in_range: int = 4000) -> DataFra
             yield flush()
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, rows_in_range).mapInArrow(run, schema)
+    return with_next(docs, rows_in_range).mapInArrow(lean(run), schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import discard, groups_of, may_hold, packed, release, stored
+from stavelake.llm.common import discard, groups_of, lean, may_hold, packed, stored
 from stavelake.llm.graph import connected_components
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 192
@@ -146,7 +146,6 @@ def signature_rows(docs: DataFrame, shingler: Shingler) -> DataFrame:
     signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             keys, column = batch.column(0).to_pylist(), batch.column(1)
             begin = 0
@@ -169,7 +168,7 @@ def signature_rows(docs: DataFrame, shingler: Shingler) -> DataFrame:
                 )
                 begin = end
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("raw")).mapInArrow(run, "doc_id long, raw long, key binary, chars long, signature binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("raw")).mapInArrow(lean(run), "doc_id long, raw long, key binary, chars long, signature binary")
 
 
 def _matrix(signatures: Sequence[bytes]) -> np.ndarray:
@@ -180,13 +179,12 @@ def bucket_rows(classes: DataFrame, shingler: Shingler) -> DataFrame:
     """(bucket, cid) of every class in every band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             if batch.num_rows:
                 found = shingler.buckets(_matrix(batch.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), shingler.bands))], ["bucket", "cid"])
 
-    return classes.filter("signature is not null").select("cid", "signature").mapInArrow(run, "bucket long, cid long")
+    return classes.filter("signature is not null").select("cid", "signature").mapInArrow(lean(run), "bucket long, cid long")
 
 
 def in_blocks(members: DataFrame, blocks: str, *keep: str) -> DataFrame:
@@ -201,7 +199,6 @@ def by_block(blocks: DataFrame, finish: Callable[[list, int, bool], list[tuple]]
     """Runs ``finish`` (rows of cid, block and more; bucket; across two blocks) on every pair of blocks with two rows or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         out: list[tuple] = []
         for (bucket, i, j), rows in groups_of(batches, 3):
             if len(rows) > 1:
@@ -212,7 +209,7 @@ def by_block(blocks: DataFrame, finish: Callable[[list, int, bool], list[tuple]]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
-    return blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid").mapInArrow(run, schema)
+    return blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid").mapInArrow(lean(run), schema)
 
 
 def with_partner(signatures: np.ndarray, block: np.ndarray, band: int, across: bool, shingler: Shingler) -> np.ndarray:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import discard, may_hold, packed, release, stored
+from stavelake.llm.common import discard, lean, may_hold, packed, stored
 from stavelake.llm.difference_cover import repeated_starts
 
 LENGTH, GRAM = 200, 40
@@ -103,7 +103,6 @@ def sampled_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """(g, c, doc, mark, place): place is the first window times 2^20 plus the windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         runs, held, size = Runs(length, gram), [], 0
 
         def flush() -> pa.RecordBatch:
@@ -123,7 +122,7 @@ def sampled_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.filter(F.octet_length("text") >= length).mapInArrow(run, "g long, c long, doc long, mark long, place long")
+    return rows.filter(F.octet_length("text") >= length).mapInArrow(lean(run), "g long, c long, doc long, mark long, place long")
 
 
 def contexts(rows: DataFrame, needed: DataFrame, length: int) -> DataFrame:
@@ -131,7 +130,6 @@ def contexts(rows: DataFrame, needed: DataFrame, length: int) -> DataFrame:
     lists = needed.groupBy("doc", "mark").agg(F.collect_list(F.struct("g", "place")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         types, names = [*[pa.int64()] * 4, pa.binary()], ["g", "doc", "mark", "first", "data"]
         out, size = [], 0
         for batch in batches:
@@ -148,7 +146,7 @@ def contexts(rows: DataFrame, needed: DataFrame, length: int) -> DataFrame:
             yield _batch(out, types, names)
 
     texts = may_hold(rows, needed, "doc", "mark").filter("held__").drop("held__").dropDuplicates(["doc", "mark"])
-    return texts.join(lists, ["doc", "mark"]).select("doc", "mark", "text", "runs").mapInArrow(run, "g long, doc long, mark long, first long, data binary")
+    return texts.join(lists, ["doc", "mark"]).select("doc", "mark", "text", "runs").mapInArrow(lean(run), "g long, doc long, mark long, first long, data binary")
 
 
 def repeated_windows(ctx: DataFrame, length: int) -> DataFrame:
@@ -159,7 +157,6 @@ def repeated_windows(ctx: DataFrame, length: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         types, names = [pa.int64()] * 4, ["doc", "mark", "first", "windows"]
 
         def finish(group: list) -> pa.RecordBatch | None:
@@ -182,7 +179,7 @@ def repeated_windows(ctx: DataFrame, length: int) -> DataFrame:
             yield made
 
     dealt = ctx.repartition("g").sortWithinPartitions("g")
-    return dealt.select("g", "doc", "mark", "first", "data").mapInArrow(run, "doc long, mark long, first long, windows long")
+    return dealt.select("g", "doc", "mark", "first", "data").mapInArrow(lean(run), "doc long, mark long, first long, windows long")
 
 
 def stretches(doc: int, mark: int, first: int, starts: list[int]) -> Iterator[tuple[int, int, int, int]]:
@@ -197,7 +194,6 @@ def repeated_windows_hot(ctx: DataFrame, length: int) -> DataFrame:
     """The same by rows of window names (128 bits), for grams with many unlike runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             out = []
             for doc, mark, first, d in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
@@ -205,7 +201,7 @@ def repeated_windows_hot(ctx: DataFrame, length: int) -> DataFrame:
             if out:
                 yield _batch(out, [pa.binary(), *[pa.int64()] * 3], ["name", "doc", "mark", "first"])
 
-    windows = stored(ctx.select("g", "doc", "mark", "first", "data").mapInArrow(run, "name binary, doc long, mark long, first long"), "windows")
+    windows = stored(ctx.select("g", "doc", "mark", "first", "data").mapInArrow(lean(run), "name binary, doc long, mark long, first long"), "windows")
     salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc", "first"), F.lit(64)).cast("int"))
     parts = salted.groupBy("name", "salt").agg(F.count(F.lit(1)).alias("n"))
     twice = parts.groupBy("name").agg(F.sum("n").alias("n"), F.collect_list("salt").alias("salts")).filter("n > 1")
@@ -263,7 +259,6 @@ def dedup_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     doc_id = F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
             out = []
@@ -275,7 +270,7 @@ def dedup_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 yield _batch(out, types, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    touched = rows.filter("held__").join(spans, ["doc", "mark"], "left").select(doc_id, "text", "spans").mapInArrow(run, schema)
+    touched = rows.filter("held__").join(spans, ["doc", "mark"], "left").select(doc_id, "text", "spans").mapInArrow(lean(run), schema)
     clean = rows.filter("not held__").select(
         doc_id, F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")
     )

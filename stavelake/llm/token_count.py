@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import resident
+from stavelake.llm.common import lean, resident
 
 CHUNK, OVERLAP = 1 << 16, 1 << 9
 
@@ -118,4 +118,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, chunk: int = CHUNK, overlap: i
             counts += count(held, chunk, overlap)
             yield pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return docs.select("doc_id", F.col("text")).mapInArrow(lean(run, keep=True), "doc_id long, n_bytes long, n_tokens long")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import discard, release, resident, stored
+from stavelake.llm.common import discard, lean, resident, stored, trim
 
 BUCKETS, SAMPLE, FEATURES, FACTORS = 1 << 20, 16_384, 4096, 8
 #: Terms beside which all others are weighed again, and how many each brings at most.
@@ -162,7 +162,6 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, s
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label_")  # bounded by sample
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         cache: dict[str, list[int]] = {}
         for batch in batches:
             out = []
@@ -179,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, s
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column(1)], ["terms", "label"])
 
     # rows that repeat a text count once
-    rows = stored(texts.mapInArrow(features, "terms array<int>, label int").groupBy(F.xxhash64("terms"), "label").agg(F.first("terms").alias("terms")).select("terms", "label"), "toxic-terms")
+    rows = stored(texts.mapInArrow(lean(features), "terms array<int>, label int").groupBy(F.xxhash64("terms"), "label").agg(F.first("terms").alias("terms")).select("terms", "label"), "toxic-terms")
     totals = rows.agg(F.sum("label").alias("t"), F.count("label").alias("n")).first()
     toxic, clean = float(totals["t"] or 0), float(totals["n"] - (totals["t"] or 0))
     if not toxic or not clean:
@@ -208,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, s
                         [pa.array(np.full(len(found), k, np.int32)), pa.array((found >> 1).astype(np.int32)), pa.array(n * (found & 1)), pa.array(n)], ["anchor", "term", "a", "n"]
                     )
 
-    pairs = rows.mapInArrow(beside, "anchor int, term int, a long, n long").groupBy("anchor", "term").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    pairs = rows.mapInArrow(lean(beside), "anchor int, term int, a long, n long").groupBy("anchor", "term").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
     known = F.broadcast(rows.sparkSession.createDataFrame([(k, t, c) for k, (t, c) in anchors.items()], "anchor int, toxic double, clean double"))
     both = pairs.join(known, "anchor").select("anchor", "term", _evidence("a", "n", F.col("toxic"), F.col("clean")).alias("g2"))
     both = both.filter(F.col("g2") >= chance + float(np.log(ANCHORS)))  # few rows
@@ -224,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, s
             out = [sorted(position[t] for t in x if t in position) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column(1)], ["active", "label"])
 
-    cases = rows.mapInArrow(active, "active array<int>, label int").groupBy("active", "label").agg(F.count("label").alias("n"))
+    cases = rows.mapInArrow(lean(active), "active array<int>, label int").groupBy("active", "label").agg(F.count("label").alias("n"))
     got = sorted(((r["active"], r["label"], r["n"]) for r in cases.collect()), key=lambda x: (x[1], x[0]))  # at most sample rows
     discard(rows)
     indptr = np.cumsum([0, *(len(x[0]) for x in got)])
@@ -240,8 +239,11 @@ def score_column(machine: Machine, text: Column | str = "text") -> Column:
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = resident(key, lambda: Scorer(machine))
-        for part in parts:
-            yield pd.Series([scorer(t if isinstance(t, str) else None) for t in part], dtype="float64")
+        try:
+            for part in parts:
+                yield pd.Series([scorer(t if isinstance(t, str) else None) for t in part], dtype="float64")
+        finally:
+            trim()
 
     return score(text)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import delete, discard, may_hold, salted_group_value, storage, stored, work_dir
+from stavelake.llm.common import delete, discard, lean, may_hold, salted_group_value, storage, stored, work_dir
 
 MAGIC, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 STEP = 1 << 20
@@ -306,7 +306,7 @@ def write_archives(records: DataFrame, folder: str, roll_bytes: int = 64 << 20)
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done]), pa.array([x[1] for x in done], pa.int64())], ["file", "records"])
 
-    return stored(records.mapInArrow(write, "file string, records long"), "warc-manifest")
+    return stored(records.mapInArrow(lean(write), "file string, records long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -343,7 +343,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
 
     files = manifest.select("file")
     n = max(1, min(10_000, manifest.count()))
-    return files.repartition(n).mapInArrow(read, RECORD_SCHEMA)
+    return files.repartition(n).mapInArrow(lean(read), RECORD_SCHEMA)
 
 
 def whole(read: DataFrame, manifest: DataFrame) -> None:
