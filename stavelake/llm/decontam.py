@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import lean, resident, settled, storage, trim, work_dir
+from stavelake.llm.common import lean, release, settled, storage, trim, work_dir
 
 ITEMS, CELL, PASSAGE, BUCKET_BITS = 256, 16, 2, 14
 BUCKETS = 1 << BUCKET_BITS
@@ -46,7 +46,7 @@ LATENT, CANDIDATE, NEAR = 4.0, 0.3, 0.7
 COPY, PARAPHRASE, LOOSE, ANSWER = 0.7, 0.6, 0.4, 0.8
 SLICE = 256
 #: Words of a text that are searched together, and of texts in a chunk; characters of texts cut into words together.
-SEGMENT, CHUNK, PIECE = 1 << 15, 1 << 16, 1 << 20
+SEGMENT, CHUNK, PIECE = 1 << 15, 1 << 15, 1 << 19
 #: Blocks of items that a worker keeps, and characters of texts for which it reads the others.
 KEEP, GROUP = 16, 1 << 25
 #: Words of more items of a block than this are summed by products of dense matrices, and so are buckets of more passages.
@@ -632,14 +632,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = resident(("leaks", folder), lambda: Searcher(folder))
+        searcher = Searcher(folder)
         for batch in batches:
             keys = batch.column(0)
             out = [(keys[t].as_py(), *found) for t, *found in searcher.search(batch.column(1).to_pylist())]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return settled(docs.select("doc_id", "text").mapInArrow(lean(run, keep=True), SCHEMA), "leaks", folder)
+    return settled(docs.select("doc_id", "text").mapInArrow(lean(run), SCHEMA), "leaks", folder)
 
 
 def leak_free(docs: DataFrame, benchmark: DataFrame) -> Column:
@@ -648,13 +648,15 @@ def leak_free(docs: DataFrame, benchmark: DataFrame) -> Column:
 
     @F.pandas_udf("boolean")
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        searcher = resident(("leaks", folder), lambda: Searcher(folder))
+        release()
+        searcher = Searcher(folder)
         try:
             for part in parts:
                 texts = [t if isinstance(t, str) else None for t in part]
                 held = {t for t, *_ in searcher.search(texts)}
                 yield pd.Series([i not in held for i in range(len(texts))])
         finally:
+            del searcher
             trim()
 
     return clean("text") if folder else F.lit(True)

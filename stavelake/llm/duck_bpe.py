@@ -102,7 +102,7 @@ class DuckBpe:
 
     def _short(self, pieces: list[bytes]) -> list[list[int]]:
         self.con.register("start", self._rows(pieces))
-        out = self.con.execute(ENCODE).to_arrow_table()
+        out = self.con.sql(ENCODE).to_arrow_table()
         ends = np.searchsorted(out["word"].to_numpy(), np.arange(1, len(pieces)))
         return [x.tolist() for x in np.split(out["tok"].to_numpy(), ends)]
 
@@ -141,7 +141,7 @@ class DuckBpe:
         begin = total = 0
         for k, i in enumerate([*short, None]):
             total += len(pieces[i]) ** 2 if i is not None else 0
-            if k > begin and (i is None or k - begin == self.batch or total > 3_000_000):
+            if k > begin and (i is None or k - begin == self.batch or total > 75 * self.batch):
                 for j, ids in zip(short[begin:k], self._short([pieces[j] for j in short[begin:k]]), strict=True):
                     out[j] = ids
                 begin, total = k, len(pieces[i]) ** 2 if i is not None else 0
@@ -155,7 +155,7 @@ class DuckBpe:
         words = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
         flat = np.fromiter((t for x in ids for t in x), np.int32, int(sizes.sum()))
         self.con.register("ids", pa.table({"word": words, "pos": np.arange(len(flat)), "tok": flat}))
-        out = self.con.execute(DECODE).to_arrow_table()
+        out = self.con.sql(DECODE).to_arrow_table()
         got = dict(zip(out["word"].to_pylist(), out["piece"].to_pylist(), strict=True))
         return [got.get(i, b"") for i in range(len(ids))]
 
@@ -181,14 +181,14 @@ def bpe(path: str, pattern: str, cache: int = CACHE, batch: int = BATCH) -> Duck
     return resident(("bpe", path, pattern, cache, batch), lambda: DuckBpe(path, pattern, cache, batch))
 
 
-def encode_documents(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = True, cache: int = CACHE, batch: int = BATCH, with_decoded: bool | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = True, cache: int = CACHE, batch: int = BATCH, with_decoded: bool | None = None, group: int = GROUP, lasting: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded, decoded_sha256); ``ids`` (decimal, by spaces) and ``decoded`` are null
     without ``with_ids`` and ``with_decoded`` (as ``with_ids`` unless given).  No shuffle; a worker's memory is bounded by its
-    cache and one group of texts."""
+    cache and one group of texts, and outlives its task only if ``lasting``."""
     with_decoded = with_ids if with_decoded is None else with_decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(ranks, pattern, cache, batch)
+        coder = bpe(ranks, pattern, cache, batch) if lasting else DuckBpe(ranks, pattern, cache, batch)
         names = ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
 
@@ -210,11 +210,11 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, with_ids: bool =
                 keys.append(key)
                 texts.append(text)
                 size += len(text)
-                if size > GROUP:
+                if size > group:
                     yield flush(keys, texts)
                     keys, texts, size = [], [], 0
         if keys:
             yield flush(keys, texts)
 
     schema = "doc_id long, n_tokens long, ids string, ids_sha256 string, decoded binary, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(lean(run, keep=True), schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run, keep=lasting), schema)

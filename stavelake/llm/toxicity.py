@@ -22,7 +22,6 @@ that repeat a text repeat its score; other columns pass.
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import discard, lean, resident, stored, trim
+from stavelake.llm.common import discard, lean, release, stored, trim
 
 BUCKETS, SAMPLE, FEATURES, FACTORS = 1 << 20, 16_384, 4096, 8
 #: Terms beside which all others are weighed again, and how many each brings at most.
@@ -234,15 +233,15 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, s
 def score_column(machine: Machine, text: Column | str = "text") -> Column:
     """The score of each whole text; no shuffle."""
 
-    key = ("toxicity", uuid.uuid4().hex)
-
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = resident(key, lambda: Scorer(machine))
+        release()
+        scorer = Scorer(machine)
         try:
             for part in parts:
                 yield pd.Series([scorer(t if isinstance(t, str) else None) for t in part], dtype="float64")
         finally:
+            del scorer
             trim()
 
     return score(text)
