@@ -15,7 +15,7 @@ from stavelake.llm.common import discard, stored, table
 from stavelake.session import ship
 
 TOXIC = 0.7
-#: Words that an encoding worker remembers.
+#: Words that an encoding task remembers.
 WORDS = 120_000
 
 
@@ -42,7 +42,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (decimal, by spaces) of every document, and digests of them and of what they decode to."""
-    encoded = duck_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache=WORDS, batch=20_000, with_decoded=False)
+    encoded = duck_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache=WORDS, batch=10_000, with_decoded=False, group=1 << 19, lasting=False)
     return encoded.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
