@@ -16,7 +16,7 @@ Check = Callable[[Column], Column]
 
 
 def utf8(content: Column) -> Column:
-    """For binary content."""
+    """Of binary content, or of a text whose bytes were taken as they are."""
     return F.when(~F.is_valid_utf8(content), "Invalid UTF-8 encoding")
 
 
@@ -76,10 +76,10 @@ def rhythm(**options: bool) -> Check:
     return check
 
 
-REGISTRY: dict[str, Callable[..., Check]] = {
+REGISTRY: dict[str, Callable[..., Check]] = {"utf8": lambda: utf8} | {
     f.__name__: f for f in (termination, header_clef, rational_duration, accidentals, excessive_octave, rhythm)
 }
-DEFAULT = [{"name": n} for n in ("termination", "header_clef", "rational_duration", "accidentals", "excessive_octave", "rhythm")]
+DEFAULT = [{"name": n} for n in ("utf8", "termination", "header_clef", "rational_duration", "accidentals", "excessive_octave", "rhythm")]
 
 
 class Cascade:
@@ -90,7 +90,7 @@ class Cascade:
         for c in checks:
             if isinstance(c, dict):
                 if c["name"] not in REGISTRY:
-                    raise ValueError(f"Unknown filter {c['name']!r}. Available: {', '.join(sorted(REGISTRY))}")
+                    raise ValueError(f"No filter is called {c['name']!r} (Available are {', '.join(sorted(REGISTRY))})")
                 c = c["name"], REGISTRY[c["name"]](**c.get("params", {}))
             self.checks.append(c)
 

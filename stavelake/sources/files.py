@@ -85,6 +85,7 @@ def source_index(docs: DataFrame, key: str = "rel_id", text: str = "text") -> tu
 
 # --- manifests -------------------------------------------------------------------------------------------------
 
+# Names of fields and of splits in manifests.
 ALIASES = {"sample_id": ["id"], "doc_id": ["document_id"], "split": [], "xml_path": ["xml_relpath"], "image_path": ["image_relpath"]}
 SPLITS = {"validation": "val", "valid": "val", "dev": "val"}
 
@@ -102,7 +103,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".csv"):
         return spark.read.option("header", "true").csv(path)
     if not path.endswith(".json"):
-        raise ValueError(f"Unsupported manifest {path!r}. Use .jsonl, .json, or .csv")
+        raise ValueError(f"{path!r} is no manifest: its name ends in neither .jsonl nor .json nor .csv")
     raw = spark.read.option("multiLine", "true").json(path)
     if "samples" in raw.columns and isinstance(raw.schema["samples"].dataType, T.ArrayType):
         return raw.select(F.explode("samples").alias("s")).select("s.*")
