@@ -195,3 +195,43 @@ def chunks(text: Column | str) -> Column:
 
     width = lambda p: F.array_distinct(F.transform(p, lambda r: F.size(fields(r))))
     return let(let(lines(_c(text)), cut), lambda parts: F.when(F.forall(parts, lambda p: F.size(width(p)) == 1), F.transform(parts, lambda p: F.array_join(p, "\n"))))
+
+
+def drop_header(text: Column | str) -> Column:
+    """From the first record on that is not all interpretations; nothing is left of a text without one."""
+
+    def cut(rs: Column) -> Column:
+        first = F.array_min(F.transform(rs, lambda r, i: F.when(~is_interpretation_record(r), i)))
+        return let(first, lambda k: F.when(k.isNull(), "").otherwise(F.array_join(F.slice(rs, k + 1, F.size(rs)), "\n")))
+
+    c = _c(text)
+    return F.when(c == "", c).otherwise(let(lines(c), cut))
+
+
+def remove_first_meter(text: Column | str) -> Column:
+    """Without the first record that has a meter in any spine."""
+
+    def cut(rs: Column) -> Column:
+        first = F.array_min(F.transform(rs, lambda r, i: F.when(r.rlike(r"(?:^|\t)\*M\d+(?:\+\d+)*/\d+(?:\+\d+/\d+)*(?:\t|$)"), i)))
+        return let(first, lambda k: F.array_join(F.filter(rs, lambda r, i: k.isNull() | (i != k)), "\n"))
+
+    return let(records(_c(text)), cut)
+
+
+def squeeze_newlines(text: Column | str) -> Column:
+    return F.regexp_replace(_c(text), "\n+", "\n")
+
+
+def remove_last_bar(text: Column | str) -> Column:
+    """Up to the last barline before the last content, and terminators over as many spines; a text without one stays."""
+    c = _c(text)
+
+    def cut(rs: Column) -> Column:
+        content = F.array_max(F.transform(rs, lambda r, i: F.when(~is_bar_record(r) & ~is_terminator_record(r), i)))
+        return let(let(content, lambda k: F.array_max(F.transform(rs, lambda r, i: F.when(is_bar_record(r) & (i <= k), i)))), lambda at: ended(rs, at))
+
+    def ended(rs: Column, at: Column) -> Column:
+        end = F.array_join(F.transform(fields(F.get(rs, at)), lambda f: F.lit("*-")), "\t")
+        return F.when(at.isNull(), c).otherwise(F.concat(F.array_join(F.slice(rs, F.lit(1), at + 1), "\n"), F.lit("\n"), end))
+
+    return let(records(c), cut)

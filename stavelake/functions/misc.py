@@ -85,3 +85,12 @@ def milliseconds(seconds: Column) -> Column:
 def fingerprint(*columns: str) -> Column:
     """SHA-256 of the columns as JSON with keys in order."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
+def run_id(at: Column) -> Column:
+    """Of a timestamp, in UTC sessions: 20240131T235959Z-123."""
+    return F.concat(F.date_format(at, "yyyyMMdd'T'HHmmss"), F.lit("Z-"), F.date_format(at, "SSS"))
+
+
+def iso_stamp(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

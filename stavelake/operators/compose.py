@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from copy import deepcopy
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from stavelake.functions import kern as K
 from stavelake.operators.corpus import exact_rank
 from stavelake.operators.layout import spine_class
-from stavelake.operators.rhythm import Checker
+from stavelake.operators.rhythm import Checker, Spine, duration
 from stavelake.operators.spines import SpineError, advance, is_merge, is_split, is_terminator, restore_width, significant
 
 # Weights of segment counts and of the first segment's spine class, and the measures of a sample.
@@ -254,30 +256,66 @@ def terminal_state_error(text: str) -> str | None:
 
 
 class Rules:
-    """Spine structure and rhythm of a growing sequence: may this record close, may the sequence end."""
+    """Spine structure and rhythm of a growing sequence: may this record close, may the sequence end.
+
+    A record may not make a rhythm error, nor follow a measure that only the end could excuse.  Within a measure a spine
+    sounds on until its note is over: a duration starts where the spine is free, and ``.`` stands where it is not.
+    """
 
     def __init__(self) -> None:
-        self.state: list[int] | None = None
+        self.state: list[Fraction] | None = None  # where each spine is free again, from the last barline
+        self.kern: list[bool] = []
         self.rhythm = Checker()
         self.line = 0
         self.ended = False
 
-    def accepts(self, record: str) -> bool:
+    def _sounding(self, fields: list[str]) -> list[Fraction] | None:
+        """``state`` after a data record, or None where it is out of step."""
+        now = min((s for s, k in zip(self.state, self.kern, strict=True) if k), default=Fraction(0))
+        out, timed = list(self.state), False
+        kinds = [f.split(" ")[0] for f in fields]
+        lengths = [None if t == "." or "q" in t.lower() else duration(t) for t in kinds]
+        timed = any(x is not None and k for x, k in zip(lengths, self.kern, strict=True))
+        for i, (t, x) in enumerate(zip(kinds, lengths, strict=True)):
+            if not self.kern[i] or not timed:
+                continue
+            if t == "." and out[i] <= now or x is not None and out[i] != now:
+                return None
+            if x is not None:
+                out[i] = now + x
+        return out
+
+    def _next(self, record: str) -> tuple[list[Fraction], list[bool], Checker] | None:
         fields = record.split("\t")
         if self.ended or "" in fields or self.state is not None and len(fields) != len(self.state):
-            return False
+            return None
+        if self.state is None:
+            self.state, self.kern = [Fraction(0)] * len(fields), [f == "**kern" or not f.startswith("**") for f in fields]
+        rhythm = deepcopy(self.rhythm)
+        if not rhythm.spines and not record.startswith("**"):
+            rhythm.spines = [Spine(True) for _ in fields]
+        bar, data = all(f[:1] == "=" for f in fields), record[:1] not in ("*", "=", "!")
+        if rhythm.held and not bar and not is_terminator(record):
+            return None
+        state = self._sounding(fields) if data else [Fraction(0)] * len(fields) if bar else self.state
+        if state is None:
+            return None
         try:
-            left = advance([0] * len(fields), fields)
+            state = advance(state, fields, merge=max)
+            kern = advance(self.kern, fields, merge=any)
         except SpineError:
-            return False
-        return bool(left) or is_terminator(record)
+            return None
+        before = len(rhythm.errors)
+        rhythm.accept(self.line + 1, record)
+        return (state, kern, rhythm) if (state or is_terminator(record)) and len(rhythm.errors) == before else None
+
+    def accepts(self, record: str) -> bool:
+        return self._next(record) is not None
 
     def apply(self, record: str) -> None:
-        fields = record.split("\t")
+        self.state, self.kern, self.rhythm = self._next(record)
         self.line += 1
-        self.state = advance([0] * len(fields), fields)
         self.ended = is_terminator(record)
-        self.rhythm.accept(self.line, record)
 
     def terminator(self) -> str | None:
         return "\t".join(["*-"] * len(self.state)) if self.state and not self.ended else None
@@ -311,3 +349,17 @@ def finalize(text: str, saw_end: bool, hit_max: bool) -> dict:
         body += "\n"
     flags["truncated"] = flags["trimmed_incomplete_tail"] or cut_off
     return {"text": body, **flags}
+
+
+FINALIZED = "text string, trimmed_incomplete_tail boolean, appended_terminator boolean, hit_max_length boolean, saw_eos boolean, truncated boolean"
+
+
+def finalize_column(text: Column | str, saw_end: Column, hit_max: Column) -> Column:
+    """``finalize`` of each row."""
+
+    @F.pandas_udf(FINALIZED)
+    def run(texts: pd.Series, ends: pd.Series, hits: pd.Series) -> pd.DataFrame:
+        names = [c.split(" ")[0] for c in FINALIZED.split(", ")]
+        return pd.DataFrame([finalize(t if isinstance(t, str) else "", bool(e), bool(h)) for t, e, h in zip(texts, ends, hits, strict=True)], columns=names)
+
+    return run(text, saw_end, hit_max)

@@ -336,3 +336,16 @@ def latest_event(events: DataFrame, key: str, at: str) -> DataFrame:
     """The last row of each key."""
     rest = [c for c in events.columns if c != key]
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(at)).alias("e")).select(key, "e.*")
+
+
+def matching(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """Rows that equal every value that is wanted; a value of None wants nothing."""
+    for name, value in wanted.items():
+        if value is not None:
+            df = df.filter(F.col(name) == value)
+    return df
+
+
+def options(df: DataFrame, name: str) -> DataFrame:
+    """(label, value) of the values of a column that there are, in order."""
+    return df.select(F.col(name).cast("string").alias("label"), F.col(name).alias("value")).filter("value is not null").distinct().orderBy("value")

@@ -151,3 +151,21 @@ def diagnostic_rows(df: DataFrame, stderr: str, key: str) -> DataFrame:
     blocks = F.split(F.regexp_replace(F.col(stderr), r"\n(?!\[)", " "), "\n")
     found = F.explode(F.filter(F.transform(blocks, lambda b: F.struct(F.lower(F.regexp_extract(b, r"^\[(\w+)\]", 1)).alias("level"), F.trim(F.regexp_replace(b, r"^\[\w+\]", "")).alias("message"))), lambda x: x["level"] != ""))
     return df.select(key, found.alias("d")).select(key, "d.*")
+
+
+def content_box(pixels: DataFrame, key: str) -> DataFrame:
+    """(key, top, bottom, left_edge, right_edge) of (key, row, column) of dark pixels."""
+    return pixels.groupBy(key).agg(F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("column").alias("left_edge"), F.max("column").alias("right_edge"))
+
+
+def canvas(width: Column, height: Column, content_width: Column, content_height: Column, ratio: Column, side: Column, top: Column) -> Column:
+    """STRUCT of the canvas's width and height and of the place of the content: at least the image, the content with its
+    margins, and the page's ratio of height to width; content is centred between the side margins."""
+    need_w = F.greatest(width, content_width + 2 * side)
+    need_h = F.greatest(height, content_height + 2 * top)
+    whole_w = F.greatest(need_w, F.ceil(need_h / F.greatest(ratio, F.lit(1e-6))))
+    whole_h = F.greatest(F.ceil(whole_w * ratio), need_h)
+    centred = F.greatest(F.lit(0), F.floor((whole_w - content_width) / 2))
+    left = F.least(F.greatest(centred, side), F.greatest(side, whole_w - content_width - side))
+    left = F.greatest(F.lit(0), F.least(left, whole_w - content_width))
+    return F.struct(whole_w.cast("long").alias("width"), whole_h.cast("long").alias("height"), F.least(top, F.greatest(F.lit(0), whole_h - content_height)).cast("long").alias("y"), left.cast("long").alias("x"))

@@ -95,3 +95,21 @@ def series_on_axis(frames: dict[str, DataFrame], axis: list[int], key: str, n: s
 def eta(done: Column, total: Column, elapsed: Column) -> Column:
     """Seconds left at the pace so far; null before the first."""
     return F.when(done > 0, elapsed / done * (total - done))
+
+
+def constrained_deltas(pairs: DataFrame, with_: str, without: str) -> DataFrame:
+    """Of pairs of runs (two structs of batch_ms, generate_ms, samples_per_second, tokens_per_second): the run with constraints
+    less the one without, and how many times as long its batches take (0 where the other took no time)."""
+    a, b = F.col(with_), F.col(without)
+    rest = [c for c in pairs.columns if c not in (with_, without)]
+    fields = {"batch_ms": "batch_ms_delta", "generate_ms": "generate_ms_delta", "samples_per_second": "samples_per_second_delta", "tokens_per_second": "tokens_per_second_delta"}
+    slowdown = F.when(b["batch_ms"] > 0, a["batch_ms"] / b["batch_ms"]).otherwise(0.0)
+    return pairs.select(*rest, slowdown.alias("slowdown"), *((a[f] - b[f]).alias(name) for f, name in fields.items()))
+
+
+def cost_verdict(grammar: Column, semantic: Column, generate: Column, delta: Column) -> Column:
+    """What makes decoding slow: with a counterpart (``delta``, in ms) half of the difference decides, else the larger."""
+    bound = F.greatest(F.lit(1.0), delta * 0.5)
+    compared = F.when((semantic >= grammar) & (semantic >= bound), "semantic").when((grammar > semantic) & (grammar >= bound), "grammar").when(delta > 0, "model")
+    alone = F.when((semantic > grammar) & (semantic > 0), "semantic").when((grammar >= semantic) & (grammar > 0), "grammar").when(generate > 0, "model")
+    return F.coalesce(F.when(delta.isNotNull(), compared), alone, F.lit("inconclusive"))

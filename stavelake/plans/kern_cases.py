@@ -156,3 +156,31 @@ RHYTHM: list[tuple[str, int, int, int | None]] = [
     ("**kern|**dynam;*M2/4|*;=|=;2{p}|f;=|=;2d|p;==|==;*-|*-", 2, 0, None),
     ("**kern;*M{n}/3;=;4{p};=;4c;==;*-", 2, 0, None),  # no meter
 ]
+
+# Texts, and counters after them: splits, merges, ottava marks, control lines in a row.
+GUARD: list[tuple] = [
+    ("*^|*;4{p}|4c|4d;*v|*v|*;", 1, 2, 0, 1),
+    ("*8va|*;4{p}|{d}d;*X8va|*;*^|*;*|*|*^;", 2, 0, 2, 3),
+    ("*8va;*X8va;*8va;*X8va;4{p};" + "*8va;*X8va;" * 3, 0, 0, 10, 6),
+    ("4{p}|4c;*^", 0, 0, 0, 0),
+    ("*^;" * 40 + "4{p};", 40, 0, 0, 0),
+]
+# Markers that may not follow the texts above: all of them after too many control lines, else by their caps.
+GUARD_BLOCKED = [0, 0, 16, 0, 1]
+
+# Sequences as they were generated (with an end mark), and what is kept of them: cut at the first record that cannot be.
+FINALIZED: list[tuple[str, str, int]] = [
+    ("**kern;*M4/4;=;1{p};=;2c;4d;4e;=;*-", "**kern;*M4/4;=;1{p};=;2c;4d;4e;=;*-", 0),
+    ("**kern;*M4/4;=;1{p};=;2c;4d;2e;=;1c;*-", "**kern;*M4/4;=;1{p};=;2c;4d;2e;*-", 1),
+    ("**kern;*M4/4;=;1{p};=;2c;=;1d;*-", "**kern;*M4/4;=;1{p};=;2c;=;*-", 1),
+    ("*M2/4|*M2/4;4{p}|2d;4c|.;=|=;4e|4f;4e|.;*-|*-", "*M2/4|*M2/4;4{p}|2d;4c|.;=|=;4e|4f;*-|*-", 1),
+    ("*M2/4|*M2/4;4{p}|4d;4c|8d;.|8e;=|=;2c|2d;==|==;*-|*-", "*M2/4|*M2/4;4{p}|4d;4c|8d;.|8e;=|=;2c|2d;==|==;*-|*-", 0),
+    ("4{p}|4d;*^|*;4c|4e|4d;4c|4d;*-|*-", "4{p}|4d;*^|*;4c|4e|4d;*-|*-|*-", 1),
+]
+
+STRINGS: dict[str, list[tuple[str, str]]] = {
+    "drop_header": [("*clefG2|*clefF4;*k[]|*k[];4{p}|4d;*clefF4|*;=|=", "4{p}|4d;*clefF4|*;=|="), ("*clefG2;*M{n}/4", ""), ("{d}{p};*clefG2", "{d}{p};*clefG2")],
+    "remove_first_meter": [("*k[]|*;*M{n}/4|*;4{p}|4d;*M3/4|*M3/4", "*k[]|*;4{p}|4d;*M3/4|*M3/4"), ("*MM{n};{d}{p}", "*MM{n};{d}{p}"), ("*M3/8+3/8;{d}{p}", "{d}{p}")],
+    "squeeze_newlines": [("4{p};;;{d}d;", "4{p};{d}d;"), (";;4{p}", ";4{p}")],
+    "remove_last_bar": [("=|=;4{p}|4d;=|=;4c|4d;==|==;*-|*-", "=|=;4{p}|4d;=|=;*-|*-"), ("4{p};4d;==;*-", "4{p};4d;==;*-"), ("={n};{d}{p};*^;4c|4d", "={n};*-")],
+}

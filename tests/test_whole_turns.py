@@ -26,9 +26,9 @@ def test_rates_reach_the_ends_of_turns(spark, tmp_path):
     got = lambda q, c: {r.turn: r[c] for r in queries()[q](spark, str(tmp_path)).collect()}
     want = lambda cut: {i: 100 * distance(cut(a), cut(b)) / len(cut(b)) for i, (a, b) in enumerate(zip(texts, texts[1:]))}
     assert all(len(t) > 300 for t in texts if t != "short") and want(list)[0] > 0
-    assert got("cer_turns", "cer") == pytest.approx(want(list))
-    assert got("ser_turns", "ser") == pytest.approx(want(str.split))
-    assert got("ler_turns", "ler") == pytest.approx(want(lambda t: t.strip().split("\n")))
-    whole = {r.grp: r for r in queries()["macro_micro_turns"](spark, str(tmp_path)).collect()}[None]
+    assert got("cer_pairs", "cer") == pytest.approx(want(list))
+    assert got("ser_pairs", "ser") == pytest.approx(want(str.split))
+    assert got("ler_pairs", "ler") == pytest.approx(want(lambda t: t.strip().split("\n")))
+    whole = {r.grp: r for r in queries()["macro_micro_by_source"](spark, str(tmp_path)).collect()}[None]
     errors = [distance(a, b) for a, b in zip(texts, texts[1:])]
     assert whole.n == 4 and whole.micro == pytest.approx(100 * sum(errors) / sum(map(len, texts[1:])))
