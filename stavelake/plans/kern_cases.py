@@ -182,5 +182,36 @@ STRINGS: dict[str, list[tuple[str, str]]] = {
     "drop_header": [("*clefG2|*clefF4;*k[]|*k[];4{p}|4d;*clefF4|*;=|=", "4{p}|4d;*clefF4|*;=|="), ("*clefG2;*M{n}/4", ""), ("{d}{p};*clefG2", "{d}{p};*clefG2")],
     "remove_first_meter": [("*k[]|*;*M{n}/4|*;4{p}|4d;*M3/4|*M3/4", "*k[]|*;4{p}|4d;*M3/4|*M3/4"), ("*MM{n};{d}{p}", "*MM{n};{d}{p}"), ("*M3/8+3/8;{d}{p}", "{d}{p}")],
     "squeeze_newlines": [("4{p};;;{d}d;", "4{p};{d}d;"), (";;4{p}", ";4{p}")],
+    "with_header": [("{d}{p}|4c;*-|*-", "**kern|**kern;{d}{p}|4c;*-|*-"), ("**kern;4{p}", "**kern;4{p}")],
+    "with_terminator": [("**kern|**kern;{d}{p}|4c;;", "**kern|**kern;{d}{p}|4c;*-|*-"), ("4{p};*-", "4{p};*-"), ("", "")],
+    "ekern_to_kern": [("**ekern_1.0|**ekern;{d}@{p}·#|4@e·L", "**kern|**kern;{d}{p}#|4eL")],
+    "strip_markers": [("*k[f#]|*;[8{p}L|8e_J;16ffkk]|r", "*k[f#]|*;8{p}|8e;16ff|r")],
     "remove_last_bar": [("=|=;4{p}|4d;=|=;4c|4d;==|==;*-|*-", "=|=;4{p}|4d;=|=;*-|*-"), ("4{p};4d;==;*-", "4{p};4d;==;*-"), ("={n};{d}{p};*^;4c|4d", "={n};*-")],
 }
+
+# Texts, spines at the start, at the end and after the first width is restored (None: broken), and the reason in words.
+WIDTHS: list[tuple] = [
+    ("**kern|**kern;4{p}|4d;*^|*;4c|4e|4d;=|=|=;*-|*-|*-", 2, 3, 2, None),
+    ("**kern;{d}{p};*-", 1, 1, 1, None),
+    ("**kern|**kern;*^|*;4{p}|4e|4d;*v|*v|*;=|=;*-|*-", 2, 2, 2, None),
+    ("4{p}|4d;4c", None, None, None, "line 2: 1 fields where 2 spines are open"),
+    ("!! {n}", None, None, None, "nothing but blanks and comments"),
+]
+
+# Segments parted by @, and what they are stitched to, or why they cannot be.
+COMPOSED: list[tuple[str, str | None, str | None]] = [
+    ("**kern|**kern;*clefF4|*clefG2;*k[]|*k[];*M4/4|*M4/4;=1|=1;1C|1{p};==|==;*-|*-@**kern|**kern;*clefF4|*clefF4;*k[f#]|*k[];*M4/4|*M4/4;=1|=1;1D|1{p};==|==;*-|*-", "**kern|**kern;*clefF4|*clefG2;*k[]|*k[];*M4/4|*M4/4;=1|=1;1C|1{p};==|==;*|*clefF4;*k[f#]|*;=1|=1;1D|1{p};==|==;*-|*-;", None),
+    ("**kern;*clefG2;*M3/4;={n};2.{p};=;*-@**kern;*clefG2;*M2/4;=1;2{p};==;*-", "**kern;*clefG2;*M3/4;={n};2.{p};=;*M2/4;=1;2{p};==;*-;", None),
+    ("**kern;*clefG2;4{p};*-", "**kern;*clefG2;4{p};*-;", None),
+    ("**kern|**kern;4{p}|4c;*-|*-@**kern;4{p};*-", None, "a segment of 1 spines after one of 2"),
+]
+
+# Texts, chunks, and the longest proper prefix that is offered.
+PREFIXES: list[tuple[str, int, str | None]] = [
+    ("**kern;4{p};=1;4d;*^;4e|4f;*v|*v;4g;=2;4a", 4, "**kern;4{p};=1;4d;*^;4e|4f;*v|*v;4g;=2"),
+    ("**kern;{d}{p}", 0, None),
+    ("4{p};=;4c;=;4d", 2, "4{p};=;4c;="),
+]
+
+# Texts with notes, with splits, merges, exchanges and ends of spines.
+MARKS: list[tuple] = [("**kern|**kern;*^|*;4{p}|4c|4d;*v|*v|*;*x|*x;*-|*-", 1, 1, 2, 2, 2), ("**kern;={n};!c;*-", 0, 0, 0, 0, 1), ("{d}r", 1, 0, 0, 0, 0)]
