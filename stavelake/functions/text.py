@@ -181,32 +181,27 @@ def ler(pred: Column | str, target: Column | str) -> Column:
     return 100.0 * sequence_distance(p, t) / F.size(t)
 
 
-def nearest_rank(df: DataFrame, value: str, index) -> Column:
-    """The order statistic with the zero-based ``index(n)``, exact, as an aggregate over ``df``."""
-    n = df.filter(F.col(value).isNotNull()).count()
-    k = min(max(index(n), 0), max(n - 1, 0))
-    return F.expr(f"percentile_disc({(k + 0.5) / max(n, 1)!r}) within group (order by `{value}`)")
-
-
 def percentiles(df: DataFrame, value: str, p: float = 0.95) -> DataFrame:
     """One row with the five definitions: linear, nearest rank, rounded index (half to even), weighted rank over the
-    histogram, truncated index."""
-    import math
+    histogram, truncated index.  All are order statistics of one histogram with running counts; nulls do not count."""
+    from stavelake.operators.corpus import running_counts
 
     histogram = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
-    # one row for each distinct value; the window orders that histogram only
-    running = histogram.withColumn("upto", F.sum("n").over(Window.orderBy(value)))
-    total = F.sum("n").over(Window.partitionBy())
-    ranked = running.withColumn("rank", F.greatest(F.lit(1), F.bround(total * p))).filter("upto >= rank").agg(F.min(value).alias("weighted_rank"))
-    rest = df.agg(
-        F.percentile(value, p).alias("linear"),
-        nearest_rank(df, value, lambda n: math.ceil(p * n) - 1).alias("nearest_rank"),
-        nearest_rank(df, value, lambda n: round(p * (n - 1))).alias("rounded_index"),
-        nearest_rank(df, value, lambda n: int(n * int(p * 100) / 100)).alias("truncated_index"),
+    counted = running_counts(histogram, value, "n").join(F.broadcast(histogram.agg(F.sum("n").alias("total_"))))
+    n, v = F.col("total_"), F.col(value)
+    at = lambda k: F.min(F.when(F.col("upto") > F.greatest(F.lit(0), F.least(k, n - 1)), v))
+    place = (n - 1) * p
+    found = counted.agg(
+        at(F.floor(place)).alias("low_"),
+        at(F.ceil(place)).alias("high_"),
+        F.max(place - F.floor(place)).alias("part_"),
+        at(F.ceil(n * p) - 1).alias("nearest_rank"),
+        at(F.bround(place)).alias("rounded_index"),
+        at(F.floor(n * int(p * 100) / 100)).alias("truncated_index"),
+        F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.bround(n * p)), v)).alias("weighted_rank"),
     )
-    return rest.join(F.broadcast(ranked))
+    linear = F.col("low_") + (F.col("high_") - F.col("low_")) * F.col("part_")
+    return found.select(linear.alias("linear"), "nearest_rank", "rounded_index", "truncated_index", "weighted_rank")
 
 
 def spine_operations(text: Column | str) -> Column:

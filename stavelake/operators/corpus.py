@@ -102,12 +102,15 @@ def resolve(rows: DataFrame, direct: DataFrame, by_text: DataFrame, key: str, te
     ``direct`` is (key, value), ``by_text`` (text, value).
     """
     d = direct.select(F.col(key).alias("k_"), F.col("value").alias("direct_"))
-    lists = by_text.groupBy(F.col(text).alias("t_")).agg(F.array_sort(F.collect_set("value")).alias("found_"))
-    out = rows.join(d, F.col(key) == F.col("k_"), "left").join(lists, F.col(text) == F.col("t_"), "left")
-    n = F.coalesce(F.size("found_"), F.lit(0))
-    pick = F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(text)), 256), 1, 8), 16, 10).cast("long"), F.greatest(n, F.lit(1))).cast("int")
-    status = F.when(F.col("direct_").isNotNull(), "direct").when(n == 1, "unique").when(n > 1, "ambiguous").otherwise("missing")
-    return out.withColumns({"status": status, "resolved": F.coalesce("direct_", F.get("found_", pick))}).drop("k_", "direct_", "t_", "found_")
+    roll = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(text)), 256), 1, 8), 16, 10).cast("long")
+    # one row for each text: how many candidates it has, and the one that is picked
+    found = by_text.select(F.sha2(text, 256).alias("t_"), "value", roll.alias("roll_")).distinct()
+    sizes = found.groupBy("t_").agg(F.count(F.lit(1)).alias("n_"))
+    placed = found.join(sizes, "t_").withColumn("place_", F.row_number().over(Window.partitionBy("t_").orderBy("value")) - 1)
+    picked = placed.filter(F.col("place_") == F.pmod("roll_", "n_")).select("t_", "n_", F.col("value").alias("picked_"))
+    out = rows.join(d, F.col(key) == F.col("k_"), "left").withColumn("h_", F.sha2(text, 256)).join(picked, F.col("h_") == F.col("t_"), "left")
+    status = F.when(F.col("direct_").isNotNull(), "direct").when(F.col("n_") == 1, "unique").when(F.col("n_") > 1, "ambiguous").otherwise("missing")
+    return out.withColumns({"status": status, "resolved": F.coalesce("direct_", "picked_")}).drop("k_", "direct_", "t_", "h_", "n_", "picked_")
 
 
 def stage_drops(spark, stages: list[tuple[str, DataFrame]], key: str) -> DataFrame:
@@ -271,6 +274,16 @@ def exact_rank(df: DataFrame, order: list[str]) -> DataFrame:
     return ranged.join(F.broadcast(shift.select("part_", "before")), "part_").withColumn("rank", F.col("in_part") + F.col("before")).drop("part_", "in_part", "before")
 
 
+def running_counts(histogram: DataFrame, value: str, n: str) -> DataFrame:
+    """``histogram`` with ``upto``, the sum of ``n`` up to each value: ranges are summed apart and shifted by their totals."""
+    parts = int(histogram.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = histogram.repartitionByRange(parts, value).withColumn("part_", F.spark_partition_id()).persist()
+    totals = ranged.groupBy("part_").agg(F.sum(n).alias("c"))  # a row for each partition
+    shift = totals.select("part_", F.coalesce(F.sum("c").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.sum(n).over(Window.partitionBy("part_").orderBy(value))
+    return ranged.withColumn("upto", within).join(F.broadcast(shift), "part_").withColumn("upto", F.col("upto") + F.col("before")).drop("part_", "before")
+
+
 def remove_rows(df: DataFrame, index: str, gone: list[int]) -> DataFrame:
     return df.filter(~F.col(index).isin(gone))
 

@@ -249,8 +249,9 @@ def write_scores(docs: DataFrame, folder: str, key: str = "rel_id", text: str =
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["key", "file"])
 
-    rows = docs.select(F.col(key).cast("string"), F.col(text)).mapInArrow(write, "key string, file string").collect()  # names only
-    return docs.sparkSession.createDataFrame([tuple(r) for r in rows], "key string, file string")
+    done = docs.select(F.col(key).cast("string"), F.col(text)).mapInArrow(write, "key string, file string").persist()
+    done.count()  # writes; names stay with the executors
+    return done
 
 
 def replace_table(df: DataFrame, path: str) -> None:
