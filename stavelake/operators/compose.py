@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from copy import deepcopy
 from fractions import Fraction
 
 import pandas as pd
@@ -291,7 +290,7 @@ class Rules:
             return None
         if self.state is None:
             self.state, self.kern = [Fraction(0)] * len(fields), [f == "**kern" or not f.startswith("**") for f in fields]
-        rhythm = deepcopy(self.rhythm)
+        rhythm = self.rhythm.trial()
         if not rhythm.spines and not record.startswith("**"):
             rhythm.spines = [Spine(True) for _ in fields]
         bar, data = all(f[:1] == "=" for f in fields), record[:1] not in ("*", "=", "!")
@@ -305,17 +304,25 @@ class Rules:
             kern = advance(self.kern, fields, merge=any)
         except SpineError:
             return None
-        before = len(rhythm.errors)
         rhythm.accept(self.line + 1, record)
-        return (state, kern, rhythm) if (state or is_terminator(record)) and len(rhythm.errors) == before else None
+        return (state, kern, rhythm) if (state or is_terminator(record)) and not rhythm.errors else None
 
     def accepts(self, record: str) -> bool:
         return self._next(record) is not None
 
     def apply(self, record: str) -> None:
-        self.state, self.kern, self.rhythm = self._next(record)
+        if not self.take(record):
+            raise ValueError(f"record {self.line + 1} cannot follow: {record!r}")
+
+    def take(self, record: str) -> bool:
+        """Applies the record if it is accepted."""
+        found = self._next(record)
+        if found is None:
+            return False
+        self.state, self.kern, self.rhythm = found
         self.line += 1
         self.ended = is_terminator(record)
+        return True
 
     def terminator(self) -> str | None:
         return "\t".join(["*-"] * len(self.state)) if self.state and not self.ended else None
@@ -330,14 +337,12 @@ def finalize(text: str, saw_end: bool, hit_max: bool) -> dict:
     rules, kept, rows = Rules(), [], text.split("\n")
     tail = rows.pop()
     for r in rows:
-        if not rules.accepts(r):
+        if not rules.take(r):
             flags["trimmed_incomplete_tail"] = True
             break
-        rules.apply(r)
         kept.append(r)
     else:
-        if tail and rules.accepts(tail) and (is_terminator(tail) or not saw_end):
-            rules.apply(tail)
+        if tail and (is_terminator(tail) or not saw_end) and rules.take(tail):
             kept.append(tail)
         elif tail:
             flags["trimmed_incomplete_tail"] = True
@@ -355,11 +360,13 @@ FINALIZED = "text string, trimmed_incomplete_tail boolean, appended_terminator b
 
 
 def finalize_column(text: Column | str, saw_end: Column, hit_max: Column) -> Column:
-    """``finalize`` of each row."""
+    """``finalize`` of each row; equal rows of a batch are worked out once."""
 
     @F.pandas_udf(FINALIZED)
     def run(texts: pd.Series, ends: pd.Series, hits: pd.Series) -> pd.DataFrame:
         names = [c.split(" ")[0] for c in FINALIZED.split(", ")]
-        return pd.DataFrame([finalize(t if isinstance(t, str) else "", bool(e), bool(h)) for t, e, h in zip(texts, ends, hits, strict=True)], columns=names)
+        rows = [(t if isinstance(t, str) else "", bool(e), bool(h)) for t, e, h in zip(texts, ends, hits, strict=True)]
+        done = {r: tuple(finalize(*r)[n] for n in names) for r in set(rows)}
+        return pd.DataFrame([done[r] for r in rows], columns=names)
 
     return run(text, saw_end, hit_max)
