@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from fractions import Fraction
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -357,16 +358,26 @@ def finalize(text: str, saw_end: bool, hit_max: bool) -> dict:
 
 
 FINALIZED = "text string, trimmed_incomplete_tail boolean, appended_terminator boolean, hit_max_length boolean, saw_eos boolean, truncated boolean"
+FINALIZED_NAMES = [c.split(" ")[0] for c in FINALIZED.split(", ")]
+
+
+def _finalized(text: str, saw_end: bool, hit_max: bool) -> tuple:
+    found = finalize(text, saw_end, hit_max)
+    return tuple(found[n] for n in FINALIZED_NAMES)
+
+
+@lru_cache(4096)
+def _short_finalized(text: str, saw_end: bool, hit_max: bool) -> tuple:
+    return _finalized(text, saw_end, hit_max)
 
 
 def finalize_column(text: Column | str, saw_end: Column, hit_max: Column) -> Column:
-    """``finalize`` of each row; equal rows of a batch are worked out once."""
+    """``finalize`` of each row; equal rows of a batch are worked out once, and short ones are remembered by the worker."""
 
     @F.pandas_udf(FINALIZED)
     def run(texts: pd.Series, ends: pd.Series, hits: pd.Series) -> pd.DataFrame:
-        names = [c.split(" ")[0] for c in FINALIZED.split(", ")]
         rows = [(t if isinstance(t, str) else "", bool(e), bool(h)) for t, e, h in zip(texts, ends, hits, strict=True)]
-        done = {r: tuple(finalize(*r)[n] for n in names) for r in set(rows)}
-        return pd.DataFrame([done[r] for r in rows], columns=names)
+        done = {r: (_short_finalized if len(r[0]) <= 1024 else _finalized)(*r) for r in set(rows)}
+        return pd.DataFrame([done[r] for r in rows], columns=FINALIZED_NAMES)
 
     return run(text, saw_end, hit_max)
